@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, packing, sharding, token_counts, token_store
+from . import chat, decontamination, near_dedup, packing, sharding, token_counts, token_store
 from .common import Scratch, table
 
 END_ID = 2
@@ -19,6 +19,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=END_ID)
 
@@ -55,7 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_decontamination, op7_token_counts, op8_chat_format, op9_token_store, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_decontamination, op7_token_counts, op8_chat_format, op9_token_store, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
