@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, near_dedup, packing, sharding, token_counts, token_store
+from . import chat, decontamination, language, near_dedup, packing, pii, quality, sharding, token_counts, token_store
 from .common import Scratch, table
 
 END_ID = 2
@@ -23,14 +23,39 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=END_ID)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _identified(docs, language.document_evidence(docs), "doc_id").withColumnRenamed("accepted", "kept")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over web pages, with the evidence of their markup and addresses."""
+    return _identified(table(spark, sf_dir, "documents"), language.page_evidence(table(spark, sf_dir, "pages")), "page_id")
+
+
+def _identified(labelled: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    model = language.fit(labelled)
+    scratch = Scratch(labelled.sparkSession, "language")
+    scored = scratch.write(language.score_text(evidence, model, [key, "declared", "host", "suffix"]), "scored")
+    return language.fuse(scored, language.host_priors(scored, model), model, [key, "declared"])
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a cache of its own for each call, so that it always does the whole work."""
     cache = Scratch(spark, "token-cache").path("counts")
@@ -59,7 +84,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_decontamination, op7_token_counts, op8_chat_format, op9_token_store, op10_sharding)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_quality_rules, op3_packing, op4_pii, op5_decontamination, op6_language_id, pages_language_id, op7_token_counts, op8_chat_format, op9_token_store, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
