@@ -76,7 +76,7 @@ class Automaton:
 _built: dict[object, Automaton] = {}
 
 
-def _scanner(windows):
+def _scanner(windows, scanned: str):
     def run(batches):
         import pyarrow as pa
 
@@ -87,7 +87,7 @@ def _scanner(windows):
         automaton, spans = _built[key], pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))
         for b in batches:
             n_words, hits, items = [], [], []
-            for t in text_views(b.column(SCANNED)):
+            for t in text_views(b.column(scanned)):
                 words = bytes(t).translate(_WORD).split()
                 found, ids = automaton.scan(words)
                 n_words.append(len(words))
@@ -95,8 +95,8 @@ def _scanner(windows):
                 # Only texts with a hit are walked again, for their offsets in code points.
                 at = [m.span() for m in _WORD_PATTERN.finditer(str(t, "utf-8"))] if found else []
                 hits.append([{"first": x, "last": y, "start": at[x][0], "end": at[y][1]} for x, y in found])
-            cols = [b.column(k) for k in b.schema.names if k != SCANNED]
             names = [k for k in b.schema.names if k != SCANNED]
+            cols = [b.column(k) for k in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(hits, spans), pa.array(items, pa.list_(pa.int64()))], [*names, "n_words", "hits", "item_ids"])
 
     return run
@@ -120,16 +120,17 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...
     words; items without words have no window; items of fewer than window words are one.
     """
     spark: SparkSession = docs.sparkSession
-    body, blocks = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("`text`").alias(SCANNED)), []
+    scanned = "text" if "text" in carry else SCANNED
+    body, blocks = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if scanned == "text" else [F.col("`text`").alias(SCANNED)])), []
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c != SCANNED)
     for block in _blocks(benchmark, block_bytes):
         name = hashlib.sha256(repr((window, sorted(block, key=repr))).encode("utf-8", "surrogatepass")).hexdigest()
         shared = spark.sparkContext.broadcast((name, windows_of(block, window)))
         blocks.append(shared)
     if len(blocks) == 1:
-        return body.mapInArrow(_scanner(blocks[0]), f"{ddl}, {FOUND}")
+        return body.mapInArrow(_scanner(blocks[0], scanned), f"{ddl}, {FOUND}")
     keyed = body.withColumn(ROW, F.monotonically_increasing_id())
-    union = reduce(DataFrame.unionByName, [keyed.mapInArrow(_scanner(x), f"{ddl}, {ROW} long, {FOUND}") for x in blocks])
+    union = reduce(DataFrame.unionByName, [keyed.mapInArrow(_scanner(x, scanned), f"{ddl}, {ROW} long, {FOUND}") for x in blocks])
     # Spans of several blocks may overlap; they are put in order and merged in the row.
     firsts = [F.first(f"`{c}`").alias(c) for c in carry]
     merged = union.groupBy(ROW).agg(*firsts, F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))

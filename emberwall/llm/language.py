@@ -47,6 +47,14 @@ def _trigrams(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
     return np.append(bucket, [BUCKETS, BUCKETS]), np.cumsum(lengths) - lengths
 
 
+def _letters(texts: list[memoryview]) -> np.ndarray:
+    """Bytes of each text that are ASCII letters or no ASCII at all."""
+    raw = np.frombuffer(b"".join(b"%b " % bytes(t) for t in texts), np.uint8)
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    x = _LOWER[raw]
+    return np.add.reduceat(((x >= 97) & (x <= 122) | (x >= 128)).astype(np.int64), np.cumsum(lengths) - lengths)
+
+
 def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -> TextModel:
     """A trigram model from at most per_language (in expectation) labelled documents of each language, picked by hash.
 
@@ -70,35 +78,36 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
     return TextModel(languages, table.astype(np.float32))
 
 
-def _scorer(shared, names: list[str]):
+def _scorer(shared, names: list[str], scanned: str):
     def run(batches):
         import pyarrow as pa
 
         model = shared.value
         for b in batches:
             logs, letters = [], []
-            for group in grouped(text_views(b.column("__scanned"))):
+            for group in grouped(text_views(b.column(scanned))):
                 bucket, begins = _trigrams(group)
                 n = np.add.reduceat((bucket < BUCKETS).astype(np.int64), begins)
                 if model.languages:
                     sums = np.stack([np.add.reduceat(model.table[:, k][bucket].astype(np.float64), begins) for k in range(len(model.languages))], axis=1)
                     logs.append(sums * (np.minimum(n * WEIGHT, CEILING) / np.maximum(n, 1))[:, None])
-                letters.append(n)
+                letters.append(_letters(group))
             flat = np.concatenate(logs).ravel() if logs else np.zeros(0)
             width = len(model.languages)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width), pa.array(flat, pa.float64()))
             count = pa.array(np.concatenate(letters) if letters else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], lists, count], [*names, "log_text", "n_trigrams"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in names], lists, count], [*names, "log_text", "n_letters"])
 
     return run
 
 
 def score_text(docs: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
-    """The carried columns, log_text (a number for each language of the model) and n_trigrams, of whole texts."""
-    body = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("`text`").alias("__scanned"))
-    ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c != "__scanned")
+    """The carried columns, log_text (a number for each language of the model) and n_letters (bytes of letters), of whole texts."""
+    scanned = "text" if "text" in carry else "__scanned"
+    body = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if scanned == "text" else [F.col("`text`").alias(scanned)]))
+    ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65 537 numbers for each of at most 100 languages
-    return body.mapInArrow(_scorer(shared, carry), f"{ddl}, log_text array<double>, n_trigrams long")
+    return body.mapInArrow(_scorer(shared, carry, scanned), f"{ddl}, log_text array<double>, n_letters long")
 
 
 def _literal(model: TextModel) -> Column:
@@ -113,7 +122,7 @@ def host_priors(scored: DataFrame, model: TextModel) -> DataFrame:
     """
     n = len(model.languages)
     best = F.array_position("log_text", F.array_max("log_text")) - 1
-    ones = [F.sum(((best == k) & (F.col("n_trigrams") > 0)).cast("long")).alias(f"c{k}") for k in range(n)]
+    ones = [F.sum(((best == k) & (F.col("n_letters") > 0)).cast("long")).alias(f"c{k}") for k in range(n)]
     cs = [f"c{k}" for k in range(n)]
     hosts = scored.groupBy("host", "suffix").agg(*ones)
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(c).alias(f"s_{c}") for c in cs])
@@ -149,9 +158,9 @@ def fuse(scored: DataFrame, priors: DataFrame, model: TextModel, carry: list[str
         *[F.col(f"`{c}`") for c in carry],
         F.get(_literal(model), (F.array_position("__logs", top) - 1).cast("int")).alias("language"),
         (1 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("posterior"),
-        F.col("n_trigrams"),
+        F.col("n_letters"),
     )
-    return joined.withColumn("accepted", (F.col("posterior") >= least) & (F.col("n_trigrams") > 0)).drop("n_trigrams")
+    return joined.withColumn("accepted", (F.col("posterior") >= least) & (F.col("n_letters") > 0)).drop("n_letters")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

@@ -101,30 +101,31 @@ CORE = "[A-Za-z0-9](?:[A-Za-z0-9._@+:/-]*[A-Za-z0-9])?"
 MARK = "␂ ␂ "  # stands for the two words before a text's first
 
 
-def with_slots(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per slot: the kept columns, context (two words), core, start and end.
-
-    Only texts with enough digits in a row of words are taken apart.
-    """
-    cols = [F.col(f"`{c}`") for c in keep]
-    some = df.where(F.col(text).rlike("[0-9]")).select(*cols, F.concat(F.lit(MARK), F.col(text)).alias("x"))
-    left, gaps = _placed(F.col("x"), BEFORE, 1)
-    part = lambda k: F.regexp_extract_all("x", F.lit(BEFORE), F.lit(k))
-    some = some.select(*cols, left.alias("left"), part(2).alias("blank"), part(3).alias("word"), gaps.alias("gaps"))
+def with_slots(df: DataFrame, text: str) -> DataFrame:
+    """Adds slots, an array of (context, core, start, end), to df; texts without digits have none."""
+    others = [F.col(f"`{c}`") for c in df.columns]
+    x = F.when(F.col(text).rlike("[0-9]"), F.concat(F.lit(MARK), F.col(text)))
+    left, gaps = _placed(x, BEFORE, 1)
+    part = lambda k: F.regexp_extract_all(x, F.lit(BEFORE), F.lit(k))
+    df = df.select(*others, left.alias("__left"), part(2).alias("__blank"), part(3).alias("__word"), gaps.alias("__gap"))
+    zipped = F.arrays_zip(F.col("__left").alias("left"), F.col("__blank").alias("blank"), F.col("__word").alias("word"), F.col("__gap").alias("gap"), F.concat(F.array(F.lit("")), "__left").alias("earlier"))
+    df = df.select(*others, F.filter(zipped, lambda z: z["left"].isNotNull()).alias("__m"))
+    before = lambda a, z: a["at"] + F.length(z["gap"]) + F.length(z["left"])
+    step = lambda a, z: F.struct(before(a, z).alias("at"), F.concat(a["out"], F.array(before(a, z) + F.length(z["blank"]))).alias("out"))
+    at = F.aggregate("__m", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+    slots = F.zip_with("__m", at, _slot)
+    slots = F.filter(slots, lambda s: F.length(F.regexp_replace(s["core"], "[^0-9]", "")) >= LEAST_DIGITS)
+    return df.select(*others, F.when(F.size("__m") > 0, slots).alias("slots"))
+
+
+def _slot(z: Column, at: Column) -> Column:
     # The word before the left one ends the gap, unless that gap is only the blank between two slots.
-    zipped = F.arrays_zip("left", "blank", "word", F.col("gaps").alias("gap"), F.concat(F.array(F.lit("")), "left").alias("earlier"))
-    rows = some.select(*cols, F.filter(zipped, lambda x: x["left"].isNotNull()).alias("m"))
-    step = lambda a, x: F.struct((a["at"] + F.length(x["gap"]) + F.length(x["left"])).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(x["gap"]) + F.length(x["left"]) + F.length(x["blank"]))).alias("out"))
-    at = F.aggregate("m", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
-    rows = rows.select(*cols, F.explode(F.arrays_zip("m", at.alias("at"))).alias("z"))
-    core = F.regexp_extract(F.col("z.m.word"), CORE, 0)
-    own = F.regexp_extract(F.col("z.m.gap"), rf"({WORD}++){BLANK}*+$", 1)
-    second = F.when(own != "", own).otherwise(F.coalesce(F.col("z.m.earlier"), F.lit("")))
+    own = F.regexp_extract(z["gap"], rf"({WORD}++){BLANK}*+$", 1)
+    second = F.when(own != "", own).otherwise(F.coalesce(z["earlier"], F.lit("")))
     plain = lambda w: F.regexp_replace(F.lower(w), "[0-9]+", "9")
-    rows = rows.select(*cols, plain(second).alias("w2"), plain(F.col("z.m.left")).alias("w1"), core.alias("core"), F.col("z.m.word").alias("word"), (F.col("z.at") - len(MARK)).alias("word_at"))
-    rows = rows.where(F.length(F.regexp_replace("core", "[^0-9]", "")) >= LEAST_DIGITS)
-    start = F.col("word_at") + F.position(F.col("core"), F.col("word")) - 1
-    return rows.select(*cols, F.concat_ws(" ", "w2", "w1").alias("context"), "core", start.cast("int").alias("start"), (start + F.length("core")).cast("int").alias("end"))
+    core = F.regexp_extract(z["word"], CORE, 0)
+    start = at - len(MARK) + F.position(core, z["word"]) - 1
+    return F.struct(F.concat_ws(" ", plain(second), plain(z["left"])).alias("context"), core.alias("core"), start.cast("int").alias("start"), (start + F.length(core)).cast("int").alias("end"))
 
 
 #: Rounds of scoring; share of a pattern's weight that must be known; distinct known identifiers it needs.
@@ -160,32 +161,28 @@ def score_patterns(slots: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS)
 
 
 def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Per row of docs (with text): the kept columns, base (spans of the four kinds) and spans (with those that patterns found).
+    """Per row of docs (with text): the kept columns, base (spans of the four kinds), found (by patterns) and spans (both).
 
-    1. One scan finds base spans; another takes texts with digits apart into slots, a small table.
-    2. Slots that a base span covers are seeds; patterns are scored (score_patterns).
+    1. One scan finds base spans and takes texts with digits apart into slots.
+    2. Slots that a base span touches are seeds; patterns are scored (score_patterns).
     3. Slots of a high-scoring pattern that no base span touches become spans of its kind.
 
-    Null texts are empty. Rows are told apart by an id of the scan, so repeated rows each keep
-    their spans. Without seeds no pattern scores, and spans equals base.
+    Null texts are empty. Rows are told apart by an id given when the scan is written, so repeated
+    rows each keep their spans. Without seeds no pattern scores, and spans equals base.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    body = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("`text`", F.lit("")).alias("__t"), F.monotonically_increasing_id().alias("__row"))
-    based = scratch.write(with_base(body, "__t", [*keep, "__row"]).drop("__t"), "base")
-    return _with_found(based, with_slots(body, "__t", ["__row"]), scratch, keep)
-
-
-def _with_found(based: DataFrame, slots: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
-    slots = scratch.write(slots, "slots")
-    touching = lambda: F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    rows = based.where(F.size("base") > 0).select("__row", "base")
-    slots = slots.join(rows, "__row", "left").select("__row", "context", "core", "start", "end", F.get(touching(), F.lit(0))["kind"].alias("seed_kind"))
-    slots = scratch.write(slots, "seeded")
+    body = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("`text`", F.lit("")).alias("__t"))
+    taken = with_slots(with_base(body, "__t", keep), "__t").drop("__t").withColumn("__row", F.monotonically_increasing_id())
+    based = scratch.write(taken, "base")
+    touching = lambda s: F.filter("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    slots = based.select("__row", F.explode("slots").alias("s"), "base")
+    slots = scratch.write(slots.select("__row", "s.*", F.get(touching(F.col("s")), F.lit(0))["kind"].alias("seed_kind")), "slots")
     patterns = score_patterns(slots, scratch).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
     best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     new = slots.where("seed_kind is null").join(best, "context").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end"))).alias("found"))
     joined = based.join(new, "__row", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "base", F.sort_array(F.concat("base", F.coalesce("found", F.array().cast(SPANS)))).alias("spans"))
+    found = F.coalesce("found", F.array().cast(SPANS))
+    return joined.select(*[F.col(f"`{c}`") for c in keep], "base", found.alias("found"), F.sort_array(F.concat("base", found)).alias("spans"))
 
 
 def spans_text(spans: str) -> Column:
@@ -208,3 +205,22 @@ def redact(text: Column, spans: str) -> Column:
     )
     done = F.aggregate(spans, start, step)
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, *, max_found: int = 100_000) -> DataFrame:
+    """docs with every span of personal data in text replaced; n_chars, where there is one, counts anew.
+
+    Base spans are found again where the text is, so texts don't move for them. Spans found by patterns
+    are few; they are joined by doc_id and the text's hash, broadcast if no more than max_found rows have any.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    found = find_pii(keyed, ["doc_id", "__key"]).where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "found").dropDuplicates(["__id", "__of"])
+    joined = keyed.join(broadcast_if_small(found, max_found), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
+    joined = joined.withColumn("__t", F.coalesce("text", F.lit("")))
+    based = with_base(joined, "__t", [*columns, "found"])
+    spans = F.sort_array(F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
+    out = based.withColumn("__spans", spans).withColumn("text", F.when(F.col("text").isNotNull() & (F.size("__spans") > 0), redact(F.col("__t"), "__spans")).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in columns])

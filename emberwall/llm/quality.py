@@ -19,13 +19,16 @@ class Risk:
 
     limit: float = 0.01
     error: float = 0.05
-    #: Shares of good documents beyond each rule's cutoff in the half that proposes them; 0 is their extreme.
-    steps: tuple[float, ...] = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008)
+    #: Proposals, the mildest first: (slack, share). A rule's cutoff is the quantile that leaves share of the good
+    #: documents beyond it, put out further by slack times its distance from their median.
+    steps: tuple[tuple[float, float], ...] = ((2.0, 0.0), (1.0, 0.0), (0.5, 0.0), (0.25, 0.0), (0.0, 0.0), (0.0, 0.001), (0.0, 0.002), (0.0, 0.004))
     #: Labelled rows used at most (a sample by hash beyond that).
     max_labels: int = 1_000_000
 
 
 #: Rules: a measure, and whether too high (1) or too low (-1) values fail.
+#: Cutoffs are never stricter than LEAST, so that a measure which good documents rarely have isn't held against a trace of it.
+LEAST = {"symbol_share": 0.1, "dup_line_share": 0.3}
 RULES = {"mean_word": 1, "short_word": -1, "symbol_share": 1, "dup_line_share": 1, "repeat_share": 1, "capital_share": 1}
 
 
@@ -97,33 +100,39 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), k), first, add)["sum"])
 
 
+def _cut(rule: str, step: int, slack: float) -> Column:
+    """A step's cutoff from an array of the rule's median and its quantile for each step."""
+    middle, far = F.get(rule, F.lit(0)), F.get(rule, F.lit(step + 1))
+    cut = far + slack * (far - middle)
+    return F.greatest(cut, F.lit(LEAST[rule])) if rule in LEAST else cut
+
+
 def thresholds(counted: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """Certified cutoffs: stratum, step, n, k, p_value, certified and a cutoff for each rule.
+    """Tested cutoffs: stratum, step, n, k, p_value, certified and a cutoff for each rule.
 
     counted has doc_id, stratum and the counts; labels has doc_id and quality (1: good). Labelled
-    documents that pass the base rules are split by a hash of doc_id. One half proposes cutoffs: for each
-    step of risk, each rule's quantile among its good documents. The other half, untouched
-    so far, tests each step's rules together: of n good documents k are rejected, and the exact binomial
-    p-value of "more than limit are" must be at most error / (strata * steps) (Bonferroni). The
-    certified step that rejects most is chosen; strata without one have no row.
+    documents that pass the base rules are split by a hash of doc_id. A third proposes cutoffs for each
+    step from its good documents' quantiles. The rest, untouched so far, tests each step's
+    rules together: of n good documents k are rejected, and the exact binomial p-value of
+    "more than limit are" must be at most error / (strata * steps) (Bonferroni).
     """
     n_labels = labels.count()
     share = min(1.0, risk.max_labels / max(1, n_labels))
     some = only(labels, "doc_id", "quality").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
     good = some.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counted.where(~base_failed()).where("stratum is not null").join(good, "doc_id", "left_semi").select("stratum", "doc_id", *[c.alias(m) for m, c in measures().items()])
-    held = held.withColumn("proposes", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
-    at = F.array(*[F.lit(1 - s) for s in risk.steps])
-    proposed = held.where("proposes").groupBy("stratum").agg(*[F.percentile_approx(F.col(m) * sign, at, F.lit(10_000)).alias(m) for m, sign in RULES.items()])
-    grid = proposed.select("stratum", F.posexplode(F.array(*[F.lit(s) for s in risk.steps])).alias("at", "step"), *RULES)
-    grid = grid.select("stratum", "step", *[F.get(m, F.col("at")).alias(f"cut_{m}") for m in RULES])
+    held = held.withColumn("proposes", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(3)) == 0)
+    at = F.array(F.lit(0.5), *[F.lit(1 - share) for _, share in risk.steps])
+    quantiles = held.where("proposes").groupBy("stratum").agg(*[F.percentile_approx(F.col(m) * sign, at, F.lit(10_000)).alias(m) for m, sign in RULES.items()])
+    proposed = quantiles.select("stratum", *[F.array(*[_cut(m, k, slack) for k, (slack, _) in enumerate(risk.steps)]).alias(m) for m in RULES])
+    grid = proposed.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(len(risk.steps) - 1))).alias("step"), *RULES)
+    grid = grid.select("stratum", "step", *[F.get(m, F.col("step")).alias(f"cut_{m}") for m in RULES])
     # One row of counts for each stratum and step: conditional sums in one pass, then unpivoted.
     cuts = proposed.select("stratum", *[F.col(m).alias(f"cuts_{m}") for m in RULES])
     tested = held.where("not proposes").join(broadcast_if_small(cuts, 100_000), "stratum")
     fails = [sum_of([F.col(m) * sign > F.get(f"cuts_{m}", F.lit(k)) for m, sign in RULES.items()]) for k in range(len(risk.steps))]
     counts = tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("long")).alias(f"k{k}") for k, f in enumerate(fails)])
-    counts = counts.select("stratum", "n", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(len(risk.steps))])).alias("at", "k"))
-    counts = counts.select("stratum", "n", "k", F.get(F.array(*[F.lit(s) for s in risk.steps]), F.col("at")).alias("step"))
+    counts = counts.select("stratum", "n", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(len(risk.steps))])).alias("step", "k"))
     strata = counts.select("stratum").distinct().count()
     level = risk.error / max(1, strata * len(risk.steps))
     # Beyond limit * n rejections the tail is over a half, and its terms needn't be summed.
@@ -142,7 +151,7 @@ def assess(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: R
     """Per row of docs(doc_id, text, stratum): the base counts, base_failed, failed rules and kept.
 
     One scan of the texts writes the counts; thresholds and verdicts come from that narrow
-    table. A document is kept unless the base rules fail it or a certified cutoff of its stratum
+    table, with the most severe certified step of each stratum. A document is kept unless the base rules fail it or a certified cutoff of its stratum
     does. A stratum that is null, or has too few labels for any certificate, rejects by the
     base rules alone. Null and empty texts have no words and fail the base rules. Labels of unknown
     documents count for nothing; several labels of one document count as the best of them.
@@ -151,7 +160,7 @@ def assess(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: R
     renamed = docs.select(F.col("`doc_id`"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col("`text`"))
     counted = scratch.write(with_counts(renamed, ["doc_id", "stratum"]), "counts")
     found = scratch.write(thresholds(counted, labels, risk), "thresholds")
-    best = found.where("certified").withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("k"), F.desc("step")))).where("rank = 1")
+    best = found.where("certified").withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("step")))).where("rank = 1")
     cuts = best.select("stratum", *[f"cut_{m}" for m in RULES])
     joined = counted.join(broadcast_if_small(cuts, 100_000), "stratum", "left")
     kinds = measures()

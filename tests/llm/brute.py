@@ -54,3 +54,68 @@ def near_components(rows, size=4, percent=80):
                 pairs.add((e, d))
                 join(d, e)
     return {d: (len(x), root(d)) for d, x in sets.items()}, pairs
+
+
+BLANK = "\x20\x09-\x0d"
+
+
+def base_counts(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
+    text = text or ""
+    words = re.findall(f"[^{BLANK}]+", text)
+    lines = [x for x in text.split("\n") if re.search(f"[^{BLANK}]", x)]
+    places = defaultdict(list)
+    for k in range(len(words) - 2):
+        places[tuple(words[k : k + 3])].append(k)
+    repeated = {j for at in places.values() if len(at) > 1 for k in at for j in (k, k + 1, k + 2)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(map(int, reversed(digits))):
+        total += d if k % 2 == 0 else 2 * d - 9 * (d > 4)
+    return total % 10 == 0
+
+
+KINDS = ("email", "ip", "card", "phone")
+
+
+def base_spans(text):
+    """[(start, kind number, end)] as the contract's own patterns give them."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def spans_text(spans):
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def bench_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or ""))
+
+
+def decontaminate(text, items, window=10):
+    """(n_words, n_hit, item ids) of a text against [(item_id, text)]."""
+    words, hit, found = bench_words(text), set(), set()
+    for item, t in items:
+        w = bench_words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[k : k + window]
+            for at in range(len(words) - len(part) + 1):
+                if words[at] == part[0] and words[at : at + len(part)] == part:
+                    found.add(item)
+                    hit.update(range(at, at + len(part)))
+    return len(words), len(hit), found
