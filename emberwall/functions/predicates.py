@@ -145,14 +145,12 @@ class FilterSpec:
         return replace(self, conditions=(), start=None, end=None)
 
     def describe(self) -> str:
-        parts = []
+        parts = [f" {c.connective} {c.describe()}" if k else c.describe() for k, c in enumerate(self.conditions)]
         if self.start or self.end:
-            span = [f"from {self.start:{TIME_FORMAT}}"] * bool(self.start) + [f"to {self.end:{TIME_FORMAT}}"] * bool(self.end)
-            parts.append("Time range: " + " ".join(span))
-        if self.conditions:
-            first, *rest = self.conditions
-            parts.append(first.describe() + "".join(f" {c.connective} {c.describe()}" for c in rest))
-        return " | ".join(parts) if parts else "No filters active"
+            since = f"from {self.start:{TIME_FORMAT}} " if self.start else ""
+            until = f"to {self.end:{TIME_FORMAT}}" if self.end else ""
+            parts.append(f"Time range: {since}{until}")
+        return " | ".join(parts) or "No filters active"
 
     def to_column(self, find: Callable[[str], list[Column]]) -> Column:
         """The whole filter: the time range, and the conditions folded by assoc."""
