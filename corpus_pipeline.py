@@ -10,35 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwall.llm import decontamination, language, near_dedup, packing, pii
-from emberwall.llm.common import Scratch, table
+from emberwall.llm.common import Scratch, sheltered, table
 from emberwall.llm.queries import END_ID, tokenizer_path
 
 
+#: The columns of documents; others that a table may have are carried along untouched.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found with confidence stay."""
-    columns = docs.columns
     model = language.fit(docs)
-    scored = language.score_text(language.document_evidence(docs), model, [*columns, "declared", "host", "suffix"])
-    fused = language.fuse(scored, language.host_priors(scored, model), model, columns)
-    return fused.where("accepted").select(*[F.col(f"`{c}`") for c in columns])
+
+    def stage(rows: DataFrame) -> DataFrame:
+        scored = language.score_text(language.document_evidence(rows), model, [*rows.columns, "declared", "host", "suffix"])
+        return language.fuse(scored, language.host_priors(scored, model), model, rows.columns).where("accepted")
+
+    return sheltered(docs, COLUMNS, stage)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group stays (five words, similarity 0.8)."""
     found = near_dedup.near_duplicates(docs, words=5, percent=80)
     gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return sheltered(docs, COLUMNS, lambda rows: rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of a benchmark item go."""
-    found = decontamination.find_windows(docs, table(spark, sf_dir, "benchmark"), carry=tuple(docs.columns))
-    return found.where(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    benchmark = table(spark, sf_dir, "benchmark")
+    return sheltered(docs, COLUMNS, lambda rows: decontamination.find_windows(rows, benchmark, carry=tuple(rows.columns)).where(F.size("hits") == 0))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in them is replaced by its kind."""
-    return pii.redacted(docs)
+    return sheltered(docs, COLUMNS, pii.redacted)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

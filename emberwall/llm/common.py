@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,5 +84,11 @@ def text_views(column) -> list[memoryview]:
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, whatever else (or whatever clashing case) the table holds."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    """The named columns, whatever else the table holds; a name in another case is another column."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
+def sheltered(df: DataFrame, own: Sequence[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(df), with columns other than own under names that no operator uses; all have their names back in the result."""
+    aside = [c if c in own else f"__kept_{k}" for k, c in enumerate(df.columns)]
+    return stage(df.toDF(*aside)).select(*aside).toDF(*df.columns)

@@ -121,7 +121,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...
     """
     spark: SparkSession = docs.sparkSession
     scanned = "text" if "text" in carry else SCANNED
-    body, blocks = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if scanned == "text" else [F.col("`text`").alias(SCANNED)])), []
+    body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [SCANNED]))
+    blocks = []
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c != SCANNED)
     for block in _blocks(benchmark, block_bytes):
         name = hashlib.sha256(repr((window, sorted(block, key=repr))).encode("utf-8", "surrogatepass")).hexdigest()

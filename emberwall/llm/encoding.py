@@ -179,12 +179,12 @@ def no_collection():
             gc.enable()
 
 
-def grouped(texts: Iterable[memoryview]) -> Iterator[list[memoryview]]:
+def grouped(texts: Iterable[memoryview], limit: int = GROUP_BYTES) -> Iterator[list[memoryview]]:
     group, size = [], 0
     for t in texts:
         group.append(t)
         size += len(t)
-        if size >= GROUP_BYTES:
+        if size >= limit:
             yield group
             group, size = [], 0
     if group:

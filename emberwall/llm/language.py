@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, text_views
+from .common import Scratch, broadcast_if_small, only, text_views
 from .encoding import grouped
 
 #: Buckets of hashed byte trigrams.
 BUCKETS = 1 << 16
+#: Texts are scored in groups of about so many bytes.
+SCAN_BYTES = 1_000_000
 #: Labelled documents per language that the text model is fitted on, at most, and at least.
 FIT_DOCS, LEAST_DOCS = 500, 5
 #: Trigrams overlap and repeat, so the evidence of a text counts as that of half its trigrams, and of CEILING at most.
@@ -31,7 +33,7 @@ _MUTE[33:65] = _MUTE[91:97] = _MUTE[123:127] = True
 @dataclass(frozen=True)
 class TextModel:
     languages: tuple[str, ...]
-    #: Log probabilities, a row for each bucket and one of zeros for what doesn't count.
+    #: Log probabilities, a row for each language; a last bucket of zeros is for what doesn't count.
     table: np.ndarray
 
 
@@ -60,11 +62,11 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
 
     The bound keeps the driver's share at a few MB; all else in this module covers all rows.
     """
-    rows = docs.select(F.col("`doc_id`"), F.col("`text`"), F.col(f"`{label}`").alias("label")).where("label is not null and text is not null")
+    rows = only(docs, "doc_id", "text", label).toDF("doc_id", "text", "label").where("label is not null and text is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count")).limit(100).collect() if r[1] >= LEAST_DOCS}
     languages = tuple(sorted(counts))
     if not languages:
-        return TextModel((), np.zeros((BUCKETS + 1, 0), np.float32))
+        return TextModel((), np.zeros((0, BUCKETS + 1), np.float32))
     share = F.create_map(*[F.lit(y) for k in languages for y in (k, min(1.0, per_language / counts[k]))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000)
     seen = np.full((BUCKETS + 1, len(languages)), 0.05)
@@ -75,7 +77,7 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
     table = np.log(np.maximum(seen, 1e-9) / seen.sum(axis=0))
     table -= table.mean(axis=1, keepdims=True)  # only differences between languages matter
     table[BUCKETS] = 0
-    return TextModel(languages, table.astype(np.float32))
+    return TextModel(languages, np.ascontiguousarray(table.T, np.float32))
 
 
 def _scorer(shared, names: list[str], scanned: str):
@@ -85,11 +87,11 @@ def _scorer(shared, names: list[str], scanned: str):
         model = shared.value
         for b in batches:
             logs, letters = [], []
-            for group in grouped(text_views(b.column(scanned))):
+            for group in grouped(text_views(b.column(scanned)), SCAN_BYTES):
                 bucket, begins = _trigrams(group)
                 n = np.add.reduceat((bucket < BUCKETS).astype(np.int64), begins)
                 if model.languages:
-                    sums = np.stack([np.add.reduceat(model.table[:, k][bucket].astype(np.float64), begins) for k in range(len(model.languages))], axis=1)
+                    sums = np.stack([np.add.reduceat(row[bucket], begins, dtype=np.float64) for row in model.table], axis=1)
                     logs.append(sums * (np.minimum(n * WEIGHT, CEILING) / np.maximum(n, 1))[:, None])
                 letters.append(_letters(group))
             flat = np.concatenate(logs).ravel() if logs else np.zeros(0)
@@ -104,7 +106,7 @@ def _scorer(shared, names: list[str], scanned: str):
 def score_text(docs: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
     """The carried columns, log_text (a number for each language of the model) and n_letters (bytes of letters), of whole texts."""
     scanned = "text" if "text" in carry else "__scanned"
-    body = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if scanned == "text" else [F.col("`text`").alias(scanned)]))
+    body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [scanned]))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65 537 numbers for each of at most 100 languages
     return body.mapInArrow(_scorer(shared, carry, scanned), f"{ddl}, log_text array<double>, n_letters long")
@@ -124,7 +126,7 @@ def host_priors(scored: DataFrame, model: TextModel) -> DataFrame:
     best = F.array_position("log_text", F.array_max("log_text")) - 1
     ones = [F.sum(((best == k) & (F.col("n_letters") > 0)).cast("long")).alias(f"c{k}") for k in range(n)]
     cs = [f"c{k}" for k in range(n)]
-    hosts = scored.groupBy("host", "suffix").agg(*ones)
+    hosts = Scratch(scored.sparkSession, "hosts").write(scored.groupBy("host", "suffix").agg(*ones), "counts")
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(c).alias(f"s_{c}") for c in cs])
     whole = suffixes.agg(*[F.sum(f"s_{c}").alias(f"g_{c}") for c in cs])
     total = lambda p: sum((F.col(f"{p}{c}") for c in cs), F.lit(0))

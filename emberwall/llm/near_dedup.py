@@ -69,7 +69,10 @@ def _depth(k2: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def _pairs(tree, k1, k2, ids, first: int, last: int):
-    """Candidates (i, j), j before i, for rows i of [first, last) of a sorted stretch."""
+    """Candidates (ids i, ids j), j before i, for rows i of [first, last) of a sorted stretch.
+
+    The first item is (None, rows of [first, last) in a region of more than REGION rows).
+    """
     n = len(ids)
     same = np.zeros(n, bool)
     same[1:] = (tree[1:] == tree[:-1]) & (k1[1:] == k1[:-1])
@@ -83,6 +86,7 @@ def _pairs(tree, k1, k2, ids, first: int, last: int):
         sizes[d] = np.bincount(run)[run]
     size = np.stack([sizes[d] for d in range(DEPTH, KEYS + 1)])
     rows = np.arange(first, last)
+    yield None, rows[size[0, first:last] > REGION]
     low = prefix.copy()  # least prefix over the steps from i - lag to i
     for lag in range(1, REGION):
         if lag > 1:
@@ -97,25 +101,31 @@ def _pairs(tree, k1, k2, ids, first: int, last: int):
 
 
 def _neighbours(edges: bool):
-    """Pairs from each sorted partition. edges: its first and last rows go on too, for pairs across partitions."""
+    """From each sorted partition: candidates (kind 0) and rows of dense regions (kind 2).
+
+    edges: its first and last rows go on too (kind 1), for what lies across partitions.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         names = ["kind", "a", "b", "tree", "k1", "k2", "doc_id"]
 
-        def pairs_out(found):
+        def pairs_out(found, held):
             for i, j in found:
+                if i is None:
+                    yield rows_out(2, [x[j] for x in held])
+                    continue
                 m = i != j
                 a, b = np.minimum(i[m], j[m]), np.maximum(i[m], j[m])
                 if len(a):
                     z = pa.nulls(len(a), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int32()), z, z, z], names)
 
-        def edge_out(rows):
+        def rows_out(kind, rows):
             n = len(rows[0])
             z = pa.nulls(n, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), z, z, *map(pa.array, rows)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), z, z, *map(pa.array, rows)], names)
 
         held, began, done = None, False, 0
         for b in batches:
@@ -126,18 +136,18 @@ def _neighbours(edges: bool):
             n = len(held[0])
             if edges and not began and n >= REGION:
                 began = True
-                yield edge_out([x[:REGION] for x in held])
+                yield rows_out(1, [x[:REGION] for x in held])
             # The last rows wait for what follows; as many before them stay as context.
             if n - REGION > done:
-                yield from pairs_out(_pairs(*held, done, n - REGION))
+                yield from pairs_out(_pairs(*held, done, n - REGION), held)
                 keep = max(0, n - 3 * REGION)
                 held, done = [x[keep:] for x in held], n - REGION - keep
         if held is not None:
-            yield from pairs_out(_pairs(*held, done, len(held[0])))
+            yield from pairs_out(_pairs(*held, done, len(held[0])), held)
             if edges:
                 if not began:
-                    yield edge_out([x[:REGION] for x in held])
-                yield edge_out([x[-REGION:] for x in held])
+                    yield rows_out(1, [x[:REGION] for x in held])
+                yield rows_out(1, [x[-REGION:] for x in held])
 
     return run
 
@@ -170,6 +180,84 @@ def _confirm(words: int, percent: int):
     return run
 
 
+#: Shingles (8 bytes each) of the stragglers that one scan compares with.
+BLOCK_SHINGLES = 3_000_000
+
+
+def _against(block, words: int, percent: int):
+    """Confirmed links between the rows and a block of stragglers that share a region with them but no component."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, components, sets, regions = block.value
+        sizes = np.array([len(s) for s in sets])
+        own = sketches(sets, BINS)
+        done = set()
+        for b in batches:
+            texts, comp, shared, a_out, b_out = text_views(b.column("text")), b.column("component").to_pylist(), b.column("regions").to_pylist(), [], []
+            doc = b.column("doc_id").to_pylist()
+            at = 0
+            for group in grouped(texts):
+                theirs = shingle_sets(group, words)
+                sketch = sketches(theirs, BINS)
+                for k, s in enumerate(theirs):
+                    c = comp[at + k]
+                    near = [regions[r] for r in shared[at + k] if r in regions]
+                    if not near:
+                        continue
+                    x = np.unique(np.concatenate(near))
+                    x = x[(components[x] != c) & (100 * np.minimum(sizes[x], len(s)) >= percent * np.maximum(sizes[x], len(s)))]
+                    for i in x[(own[x] == sketch[k]).mean(axis=1) >= LEAST_AGREEMENT].tolist():
+                        # One link of a straggler to a component is as good as all.
+                        if (i, c) not in done and similar(sets[i], s, percent):
+                            done.add((i, c))
+                            a_out.append(min(ids[i], doc[at + k]))
+                            b_out.append(max(ids[i], doc[at + k]))
+                at += len(group)
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _straggler_links(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
+    """All links between components that meet in a dense region; None if no region holds two.
+
+    In such a region every document outside its largest component is a straggler. Stragglers are
+    taken in blocks of bounded size against all documents of those regions: an exact
+    comparison for whatever the chains of neighbours did not join.
+    """
+    labelled = dense.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "region", F.coalesce("component", "doc_id").alias("component"))
+    labelled = scratch.write(labelled, "dense-components")
+    counted = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = scratch.write(counted.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components")).where("components > 1"), "mixed")
+    in_mixed = labelled.join(mixed, "region")
+    rows = in_mixed.groupBy("doc_id", "component").agg(F.collect_set("region").alias("regions"), F.collect_set(F.when(F.col("component") != F.col("largest"), F.col("region"))).alias("outside"))
+    rows = scratch.write(rows.join(texts.dropDuplicates(["doc_id"]), "doc_id"), "meeting")  # at most ORDERS regions each
+    outside = rows.where(F.size("outside") > 0)
+    shingles = outside.agg(F.sum(F.size(F.split("text", "[ \t\n\x0B\f\r]+")).cast("long"))).first()[0] or 0
+    blocks = -(-shingles // BLOCK_SHINGLES)
+    out = []
+    for k in range(blocks):
+        some = outside.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).select("doc_id", "component", "text", "outside").collect()
+        if not some:
+            continue
+        regions: dict[int, list[int]] = {}
+        for i, r in enumerate(some):
+            for region in r["outside"]:
+                regions.setdefault(region, []).append(i)
+        sets = [s for g in grouped([memoryview(r["text"].encode()) for r in some]) for s in shingle_sets(g, words)]
+        held = ([r["doc_id"] for r in some], np.array([r["component"] for r in some]), sets, {r: np.array(i) for r, i in regions.items()})
+        shared = rows.sparkSession.sparkContext.broadcast(held)
+        out.append(scratch.write(rows.select("doc_id", "component", "text", "regions").mapInArrow(_against(shared, words, percent), "a long, b long"), f"links-3-{k}"))
+        shared.unpersist()
+    scratch.drop("meeting")
+    links = None
+    for x in out:
+        links = x if links is None else links.union(x)
+    return links
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
 
@@ -185,6 +273,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     3. Pairs whose sketches agree enough are confirmed on full sets made anew from both texts: first
        each document's most alike partner, then, after joining components, the pairs between
        components that are still apart.
+    4. Where a dense region still holds several components, its documents outside the largest are compared
+       with all of the region, in blocks (_straggler_links), so that depth costs no link.
 
     Documents without words (or text) have no shingle and no link. Rows that repeat a doc_id
     share its component; a null doc_id has none (null, not kept). Every step between scans is
@@ -207,14 +297,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     scratch.drop("orders")
     # A few rows from each partition's ends: their number is that of the partitions.
     across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(False), schema)
-    pairs = near.where("kind = 0").select("a", "b").union(across.select("a", "b")).dropDuplicates(["a", "b"])
+    pairs = near.where("kind = 0").select("a", "b").union(across.where("kind = 0").select("a", "b")).dropDuplicates(["a", "b"])
 
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
     scored = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreement, "a long, b long, agreement double")
     pairs = scratch.write(scored.where(F.col("agreement") >= LEAST_AGREEMENT), "pairs")
+    region = F.xxhash64("tree", "k1").alias("region")
+    dense = scratch.write(near.where("kind = 2").select("doc_id", region).union(across.where("kind = 2").select("doc_id", region)).distinct(), "dense")
     scratch.drop("near")
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ends = dense.select("doc_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = scratch.write(body.join(ends.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:
@@ -229,10 +321,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     apart = pairs.join(best, ["a", "b"], "left_anti").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
     apart = apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b"))
     more = confirmed(apart, "links-2")
-    scratch.drop("texts", "pairs")
     if more.limit(1).count():
-        joined = links.union(more)
-        found = connected_components(joined, scratch, "second")
+        links = links.union(more)
+        found = connected_components(links, scratch, "second")
+    last = _straggler_links(dense, found, texts, scratch, words, percent)
+    if last is not None and last.limit(1).count():
+        found = connected_components(links.union(last), scratch, "third")
+    scratch.drop("texts", "pairs")
 
     member = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     out = member.join(found, F.col("rep") == F.col("node"), "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, only
 
 #: Kinds in their fixed order.
 KINDS = ("email", "ip", "card", "phone")
@@ -171,7 +171,7 @@ def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows each keep their spans. Without seeds no pattern scores, and spans equals base.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    body = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("`text`", F.lit("")).alias("__t"))
+    body = only(docs, *keep, "text").toDF(*keep, "__t").withColumn("__t", F.coalesce("__t", F.lit("")))
     taken = with_slots(with_base(body, "__t", keep), "__t").drop("__t").withColumn("__row", F.monotonically_increasing_id())
     based = scratch.write(taken, "base")
     touching = lambda s: F.filter("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))

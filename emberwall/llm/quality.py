@@ -157,7 +157,7 @@ def assess(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: R
     documents count for nothing; several labels of one document count as the best of them.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    renamed = docs.select(F.col("`doc_id`"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col("`text`"))
+    renamed = only(docs, "doc_id", stratum, "text").toDF("doc_id", "stratum", "text").withColumn("stratum", F.col("stratum").cast("string"))
     counted = scratch.write(with_counts(renamed, ["doc_id", "stratum"]), "counts")
     found = scratch.write(thresholds(counted, labels, risk), "thresholds")
     best = found.where("certified").withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("step")))).where("rank = 1")

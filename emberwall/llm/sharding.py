@@ -56,11 +56,12 @@ def order_code(value: Column) -> Column:
 def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
     """Each dimension's bucket (0 to 2**bits - 1) between its approximate quantiles over all rows.
 
-    One small aggregation; only 2**bits - 1 bounds of each dimension come to the driver.
+    A value that fills several quantiles steps over as many buckets, so few values still spread
+    over all bits. One small aggregation; only 2**bits - 1 bounds of each dimension come to the driver.
     """
     cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
     found = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, cuts)), F.lit(1000)).alias(n) for n, c in dimensions.items()]).first()
-    return {n: sum(((F.coalesce(c, F.lit(0)) > b).cast("int") for b in sorted(set(found[n] or []))), F.lit(0)) for n, c in dimensions.items()}
+    return {n: sum(((F.coalesce(c, F.lit(0)) > b).cast("int") for b in found[n] or []), F.lit(0)) for n, c in dimensions.items()}
 
 
 def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS) -> DataFrame:

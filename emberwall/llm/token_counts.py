@@ -48,7 +48,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int
         (F.col("b.digest") == F.col("c.digest")) & F.col("b.doc_id").eqNullSafe(F.col("c.carrier")),
         "left_semi",
     )
-    misses.select("digest", "text").mapInArrow(_counter(tokenizer), CACHE_SCHEMA).write.mode("append").parquet(stored)
+    # Rows that repeat the carrier itself are encoded with it, and stored once.
+    misses.select("digest", "text").mapInArrow(_counter(tokenizer), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(stored)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,0 +1,170 @@
+import random
+import zlib
+from array import array
+
+import pytest
+
+from emberwall.llm import encoding, packing, token_counts, token_store
+from emberwall.llm.common import Scratch
+from emberwall.llm.queries import tokenizer_path
+from tests.llm import cases
+
+pytest.importorskip("public_tokenizers")
+WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
+ODD = ["a,'s b", "x<|endoftext|>y", "a  \n b  c\n\nd", "“é,”—.x", "  lead", "tail  ", "\x1c\x1d a", "é,é x", "a​b ﻿ c", "0,1.5%a'b'll", "\t\n\x0b\x0c\r ", "a  <|endoftext|> b", "ÀÉ ß İ Σ ΑΣ. K", "...a...", "   x  \n y", "👍🏽,ok"]
+TEXTS = [t or "" for t in cases.TEXTS] + ODD
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+
+
+def ids(library, path, text):
+    return library[path].encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_is_exact(library, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_PARTS", 50)
+    e = encoding.WordEncoder(WORD)
+    views = [memoryview(t.encode()) for t in TEXTS]
+    want = [array("I", ids(library, WORD, t)).tobytes() for t in TEXTS]
+    assert list(e.encode(views)) == want and list(e.encode(views)) == want
+
+
+def test_byte_counter_is_exact(library, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_WORDS", 50)
+    c = encoding.ByteCounter(BYTE)
+    views = [memoryview(t.encode()) for t in TEXTS]
+    want = [len(ids(library, BYTE, t)) for t in TEXTS]
+    assert list(c.count(views)) == want and list(c.count(views)) == want
+
+
+def test_random_characters(library):
+    rng = random.Random(4)
+    pool = "ab Z,.'’-é́ \n\t0१<|>\x1f😀ſİ"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    views = [memoryview(t.encode()) for t in texts]
+    assert list(encoding.WordEncoder(WORD).encode(views)) == [array("I", ids(library, WORD, t)).tobytes() for t in texts]
+    assert list(encoding.ByteCounter(BYTE).count(views)) == [len(ids(library, BYTE, t)) for t in texts]
+
+
+def test_counts(docs, no_docs, spark, library):
+    cache = Scratch(spark, "t").path("cache")
+    got = token_counts.count_tokens(docs, BYTE, cache).collect()
+    key = lambda d: (d is None, d)
+    want = sorted(((r[0], len((r[1] or "").encode()), n := len(ids(library, BYTE, r[1] or "")), n > 1024) for r in cases.ROWS), key=lambda r: (key(r[0]), r[1:]))
+    assert sorted((tuple(r) for r in got), key=lambda r: (key(r[0]), r[1:])) == want
+    assert token_counts.count_tokens(no_docs, BYTE, cache).collect() == []
+
+
+def test_only_misses_are_encoded(docs, spark):
+    cache = Scratch(spark, "t").path("cache")
+    token_counts.count_tokens(docs, BYTE, cache).collect()
+    stored = f"{cache}/{encoding.tokenizer_digest(BYTE)}"
+    n = spark.read.parquet(stored).count()
+    assert n == len({r[1] or "" for r in cases.ROWS})
+    more = docs.union(docs.limit(1).selectExpr("*").withColumn("text", docs["doc_id"].cast("string")))
+    token_counts.count_tokens(more, BYTE, cache).collect()
+    assert spark.read.parquet(stored).count() <= n + 1
+
+
+def test_store_round_trip(docs, no_docs, spark, library):
+    path = Scratch(spark, "t").path("ids")
+    token_store.write_token_ids(docs.repartition(3), WORD, path, end_id=2)
+    got = token_store.read_digests(spark, path).collect()
+    # Rows of one id are ordered by text; those ids are null and 7 here.
+    rows = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == [None, None, *sorted(r[0] for r in cases.ROWS if r[0] is not None)]
+    start, texts = 0, {}
+    for r in cases.ROWS:
+        texts.setdefault(r[0], []).append(array("I", [*ids(library, WORD, r[1] or ""), 2]).tobytes())
+    for r in rows:
+        assert r["start"] == start
+        assert (r["n_tokens"], r["ids_crc32"]) in [(len(b) // 4, zlib.crc32(b)) for b in texts[r["doc_id"]]]
+        start += r["n_tokens"]
+    assert token_store.read_starts(spark, path).agg({"n_tokens": "sum"}).first()[0] == start
+    empty = Scratch(spark, "t").path("none")
+    token_store.write_token_ids(no_docs, WORD, empty, end_id=2)
+    assert token_store.read_digests(spark, empty).collect() == []
+
+
+def check_packing(lengths, capacity, pieces):
+    sequences, covered = {}, {}
+    for d, start, n, s, offset, _ in pieces:
+        assert n > 0
+        sequences.setdefault(s, []).append((offset, n))
+        covered.setdefault(d, []).append((start, n))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, m in sorted(covered.get(d, [])):
+            assert start == at
+            at += m
+        assert at == n
+    sizes = []
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        sizes.append(at)
+    assert all(s == capacity or s & (s - 1) == 0 for s in sizes) and max(sizes, default=0) <= capacity
+    return sizes
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packing_law(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 3, rng.randrange(1, 60), rng.randrange(1, 300), rng.randrange(1, 2000)]) for _ in range(rng.choice([0, 1, 5, 300]))]
+    sizes = check_packing(lengths, 256, packing.pack_lengths(lengths, 256))
+    assert sum(sizes) == sum(lengths) and sizes.count(256) == sum(lengths) // 256
+
+
+def test_packing_balances_cost():
+    rng = random.Random(1)
+    lengths = [rng.randrange(1, 120) for _ in range(2000)]
+    pieces = packing.pack_lengths(lengths, 1024)
+    cost = {}
+    for _, _, _, s, _, c in pieces:
+        cost[s] = cost.get(s, 0) + c
+    full = [c for s, c in cost.items() if s < sum(lengths) // 1024]
+    assert max(full) < 1.03 * min(full)
+    # Nearly all documents stay whole.
+    assert len(pieces) < 1.1 * len(lengths)
+
+
+def test_least_cost_equals_a_scan():
+    rng = random.Random(3)
+    tree, plain = packing.LeastCost(64, 40), {k: (0.0, 64) for k in range(40)}
+    for _ in range(500):
+        n = rng.randrange(1, 40)
+        fits = [(c, k, room) for k, (c, room) in plain.items() if room >= n]
+        got = tree.take(n)
+        assert got == min(fits, default=None)
+        if got:
+            c, k, room = got
+            plain[k] = (c + n * n, room - n)
+            tree.put(c + n * n, k, room - n)
+
+
+@pytest.mark.parametrize("pool", [packing.POOL_TOKENS, 3000])
+def test_pack(docs, no_docs, library, pool):
+    got = packing.pack(docs.repartition(2), WORD, pool_tokens=pool).collect()
+    want = {}
+    for r in cases.ROWS:
+        want.setdefault(r[0], []).append(array("I", [*ids(library, WORD, r[1] or ""), 2]).tobytes())
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        fits = [b for b in want[r["doc_id"]] if len(b) // 4 == r["doc_tokens"] and zlib.crc32(b[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"]]
+        assert fits
+    assert sum(r["length"] for r in got) == sum(len(b) // 4 for bs in want.values() for b in bs)
+    for parts in sequences.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at == 4096 or at & (at - 1) == 0
+    assert packing.pack(no_docs, WORD).collect() == []
