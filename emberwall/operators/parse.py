@@ -7,12 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, WORD, field, scrubbed, strip
+from ..functions.text import BLANK, WORD, by_alphabet, field, scrubbed, strip
 from ..schema import COMMON, DEFAULT_HOST, IPV4, PORTS, PROTOCOLS, TCP
 
 TAG = "filterlog"
-#: Of a line of at least four words, all after the first word that holds the tag.
-_PAYLOAD = f"(?s)^(?={WORD}++(?:{BLANK}++{WORD}++){{3}})(?:(?!{WORD}*{TAG}){WORD}++{BLANK}++)*+{WORD}*{TAG}{WORD}*+{BLANK}++(.+)$"
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T"
 
 
@@ -49,7 +47,11 @@ def parse_lines(
     others = [F.col(f"`{c}`") for c in lines.columns if c != value]
     raw = strip(scrubbed(F.col(f"`{value}`")))
     kept = lines.filter(F.contains(F.col(f"`{value}`"), F.lit(TAG))).select(*others, raw.alias("raw_line"))
-    payload = F.regexp_replace(F.regexp_extract("raw_line", _PAYLOAD, 1), f"{BLANK}++", " ")
+    # The first word with the tag is the one around the tag's first place.
+    rest = F.substr("raw_line", F.position(F.lit(TAG), F.col("raw_line")) + len(TAG))
+    enough = lambda blank, word: F.col("raw_line").rlike(f"^{word}++(?:{blank}++{word}++){{2}}{blank}++{word}")
+    after = lambda blank, word: F.regexp_replace(F.regexp_extract(rest, f"(?s)^{word}*+{blank}++(.+)$", 1), f"{blank}++", " ")
+    payload = by_alphabet(F.col("raw_line"), lambda blank, word: F.when(enough(blank, word), after(blank, word)).otherwise(F.lit("")))
     first = F.regexp_extract("raw_line", f"^({WORD}++)", 1)
     names = [F.col(f"`{c}`") for c in lines.columns if c != value]
     # The array of one element is a fence: filters on fields stop above it, so that a line's one
