@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, near_dedup, packing, pii, quality, sharding, token_counts, token_store
+from . import chat, decontamination, language, near_dedup, oracle, packing, pii, quality, sharding, token_counts, token_store
 from .common import Scratch, table
 
 END_ID = 2
@@ -88,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the whole result; the rest is tested against plain Python."""
+    return {"op1_near_dedup": oracle.NEAR_DEDUP, "op5_decontamination": oracle.DECONTAMINATION, "op8_chat_format": oracle.chat_format(HOSTILE)}
