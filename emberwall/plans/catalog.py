@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.netaddr import ipv4_number
-from ..functions.predicates import FilterSpec, columns_of, compare, preset, row_udf
+from ..functions.predicates import FilterSpec, compare, preset, row_udf
 from ..operators import enrich, export, view
 from ..operators.parse import parse_lines, rule_hash
 from ..schema import COMMON, IPV4, PARSED, PORTS, TCP
-from ..sources import rules
+from ..sources import config, rules
 from ..sources.synthetic import filter_lines
+from ..sources.text import read_lines
+from ..streaming.live import stream_rows
 from .oracle import WITH_L
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -542,6 +544,64 @@ def parquet_pruned(spark, d):
     return spark.read.parquet(path).where("day = date'2024-01-03' and action = 'block'").select("event_id", "action")
 
 
+# Files: text logs, the XML configuration and a rules dump, written to the shared folder and read as sources.
+
+_LINE_NUMBER = "SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS row_idx FROM events"
+
+
+def _log_files(spark: SparkSession, d: str) -> str:
+    """The lines as text files, whose names order as the events do."""
+    path = _scratch(spark, "text")
+    raw_lines(spark, d).repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(path)
+    return path
+
+
+@query(f"SELECT n.row_idx, l.action, l.src, l.dst FROM l JOIN ({_LINE_NUMBER}) n ON n.event_id = l.event_id")
+def scan_text_files(spark, d):
+    return parse_lines(read_lines(spark, _log_files(spark, d), numbered=True)).select("row_idx", "action", "src", "dst")
+
+
+@query(f"SELECT n.row_idx, l.action FROM l JOIN ({_LINE_NUMBER}) n ON n.event_id = l.event_id WHERE n.row_idx < 300")
+def scan_max_lines(spark, d):
+    return parse_lines(read_lines(spark, _log_files(spark, d), max_lines=300)).select("row_idx", "action")
+
+
+@query("SELECT src, dst, dstport FROM l WHERE action = 'block'")
+def stream_blocked(spark, d):
+    """The same steps as a stream over the files, run until they are read."""
+    out = _scratch(spark, "stream")
+    rows = stream_rows(spark, _log_files(spark, d), spec=preset("blocked")).select("src", "dst", "dstport")
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+XML = """<config><interfaces><lan><if>vtnet0</if><descr>LAN</descr></lan><wan><if>vtnet1</if></wan><opt><descr>none</descr></opt></interfaces>
+<x><Firewall><Alias><aliases><alias><enabled>1</enabled><name>Web</name><type>port</type><content>80,8080:8081</content></alias>
+<alias><name>Servers</name><type>host</type><content>10.0.0.1&#10;10.0.0.2</content></alias><alias><enabled>0</enabled><name>Off</name><type>host</type><content>1.1.1.1</content></alias></aliases></Alias></Firewall></x></config>"""
+
+
+def _whole_file(spark: SparkSession, text: str) -> str:
+    path = _scratch(spark, "file")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query("WITH v(physical, display) AS (VALUES ('vtnet0', 'LAN'), ('vtnet1', 'WAN')) SELECT * FROM v")
+def xml_interfaces(spark, d):
+    return config.interfaces(spark, _whole_file(spark, XML))
+
+
+@query("WITH v(item, alias) AS (VALUES ('10.0.0.1', 'Servers'), ('10.0.0.2', 'Servers'), ('80', 'Web'), ('8080', 'Web'), ('8081', 'Web')) SELECT * FROM v")
+def xml_aliases(spark, d):
+    nets, ports_ = config.aliases(spark, _whole_file(spark, XML))
+    return nets.select("item", "alias").unionByName(ports_.select(F.col("port").alias("item"), "alias"))
+
+
+@query("WITH v(rid, description) AS (VALUES ('031d9d1edc75c3c8c634a8aee47134ef', 'Block list (IPv4) in'), ('abc123def456', 'Allow web'), ('xyz789uvw012', 'Block SMTP'), ('h2', 'next line')) SELECT * FROM v")
+def rules_file(spark, d):
+    return rules.read_rules(spark, _whole_file(spark, RULES_DUMP))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -20,10 +20,10 @@ RAW_ALIAS = "alias_pos int, enabled string, name string, type string, content st
 def _root(spark: SparkSession, path: str) -> ET.Element | None:
     """The document's root, or None for a file that is missing or not well-formed. Any store that Spark reads works."""
     try:
-        if os.path.exists(path):
+        if os.path.isfile(path):
             with open(path, "rb") as f:
                 return ET.fromstring(f.read())
-        text = spark.read.text(path, wholetext=True).first()
+        text = spark.read.text(path, wholetext=True).where("value <> ''").first()
         return ET.fromstring(text["value"]) if text else None
     except Exception:
         return None
