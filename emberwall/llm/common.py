@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import tempfile
 import uuid
@@ -83,6 +85,28 @@ def text_views(column) -> list[memoryview]:
     return [whole[a:b] if v else whole[:0] for a, b, v in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept from task to task, and so is what their allocators hold."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run):
+    """A function of batches that ends each task with give_back()."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table holds; a name in another case is another column."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, text_views
+from .common import giving_back, only, text_views
 
 WINDOW = 10
 #: Test texts of one automaton; larger test sets are taken in blocks, one scan each.
@@ -129,9 +129,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...
         shared = spark.sparkContext.broadcast((name, windows_of(block, window)))
         blocks.append(shared)
     if len(blocks) == 1:
-        return body.mapInArrow(_scanner(blocks[0], scanned), f"{ddl}, {FOUND}")
+        return body.mapInArrow(giving_back(_scanner(blocks[0], scanned)), f"{ddl}, {FOUND}")
     keyed = body.withColumn(ROW, F.monotonically_increasing_id())
-    union = reduce(DataFrame.unionByName, [keyed.mapInArrow(_scanner(x, scanned), f"{ddl}, {ROW} long, {FOUND}") for x in blocks])
+    union = reduce(DataFrame.unionByName, [keyed.mapInArrow(giving_back(_scanner(x, scanned)), f"{ddl}, {ROW} long, {FOUND}") for x in blocks])
     # Spans of several blocks may overlap; they are put in order and merged in the row.
     firsts = [F.first(f"`{c}`").alias(c) for c in carry]
     merged = union.groupBy(ROW).agg(*firsts, F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))

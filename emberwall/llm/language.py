@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, only, text_views
+from .common import Scratch, broadcast_if_small, giving_back, only, text_views
 from .encoding import grouped
 
 #: Buckets of hashed byte trigrams.
@@ -109,7 +109,7 @@ def score_text(docs: DataFrame, model: TextModel, carry: list[str]) -> DataFrame
     body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [scanned]))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65 537 numbers for each of at most 100 languages
-    return body.mapInArrow(_scorer(shared, carry, scanned), f"{ddl}, log_text array<double>, n_letters long")
+    return body.mapInArrow(giving_back(_scorer(shared, carry, scanned)), f"{ddl}, log_text array<double>, n_letters long")
 
 
 def _literal(model: TextModel) -> Column:

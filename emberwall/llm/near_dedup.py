@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, only, text_views
+from .common import Scratch, giving_back, only, text_views
 from .components import connected_components
 from .encoding import grouped
 from .shingles import shingle_sets, similar, sketches
@@ -15,6 +15,8 @@ from .shingles import shingle_sets, similar, sketches
 #: two documents at similarity 0.8 share them in some order with probability 1 - (1 - 0.8**4)**24 = 0.999997.
 ORDERS, DEPTH, KEYS = 24, 4, 8
 BINS = ORDERS * DEPTH
+#: Texts are taken apart in groups of about so many bytes, of which some 40 times as much memory is in use.
+SCAN_BYTES = 1_000_000
 #: All pairs are candidates in a region (documents with a common prefix) of at most so many documents.
 REGION = 8
 #: Agreement of sketches below which a pair isn't confirmed: at similarity 0.8 lost with probability under 1e-5.
@@ -36,7 +38,7 @@ def _sketcher(words: int):
 
         for b in batches:
             texts, n, digest, sketch = text_views(b.column("text")), [], [], []
-            for group in grouped(texts):
+            for group in grouped(texts, SCAN_BYTES):
                 sets = shingle_sets(group, words)
                 n += [len(s) for s in sets]
                 digest += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -169,7 +171,7 @@ def _confirm(words: int, percent: int):
             at, size = 0, 0
             for k in range(len(a)):
                 size += len(a[k]) + len(b[k])
-                if size > 2_000_000 or k == len(a) - 1:
+                if size > SCAN_BYTES or k == len(a) - 1:
                     sets = shingle_sets([*a[at : k + 1], *b[at : k + 1]], words)
                     half = len(sets) // 2
                     good += [similar(sets[i], sets[half + i], percent) for i in range(half)]
@@ -180,8 +182,12 @@ def _confirm(words: int, percent: int):
     return run
 
 
-#: Shingles (8 bytes each) of the stragglers that one scan compares with.
-BLOCK_SHINGLES = 3_000_000
+#: Words of the stragglers that one scan compares with: 3 MB of text on the driver, 4 MB of sets in a worker.
+BLOCK_SHINGLES = 500_000
+
+
+#: The block that this Python worker has taken apart last, by name.
+_taken_apart: dict[str, list[np.ndarray]] = {}
 
 
 def _against(block, words: int, percent: int):
@@ -190,7 +196,11 @@ def _against(block, words: int, percent: int):
     def run(batches):
         import pyarrow as pa
 
-        ids, components, sets, regions = block.value
+        name, ids, components, texts_held, regions = block.value
+        if name not in _taken_apart:
+            _taken_apart.clear()
+            _taken_apart[name] = [s for g in grouped(map(memoryview, texts_held), SCAN_BYTES) for s in shingle_sets(g, words)]
+        sets = _taken_apart[name]
         sizes = np.array([len(s) for s in sets])
         own = sketches(sets, BINS)
         done = set()
@@ -198,7 +208,7 @@ def _against(block, words: int, percent: int):
             texts, comp, shared, a_out, b_out = text_views(b.column("text")), b.column("component").to_pylist(), b.column("regions").to_pylist(), [], []
             doc = b.column("doc_id").to_pylist()
             at = 0
-            for group in grouped(texts):
+            for group in grouped(texts, SCAN_BYTES):
                 theirs = shingle_sets(group, words)
                 sketch = sketches(theirs, BINS)
                 for k, s in enumerate(theirs):
@@ -246,11 +256,11 @@ def _straggler_links(dense: DataFrame, found: DataFrame, texts: DataFrame, scrat
         for i, r in enumerate(some):
             for region in r["outside"]:
                 regions.setdefault(region, []).append(i)
-        sets = [s for g in grouped([memoryview(r["text"].encode()) for r in some]) for s in shingle_sets(g, words)]
-        held = ([r["doc_id"] for r in some], np.array([r["component"] for r in some]), sets, {r: np.array(i) for r, i in regions.items()})
-        shared = rows.sparkSession.sparkContext.broadcast(held)
-        out.append(scratch.write(rows.select("doc_id", "component", "text", "regions").mapInArrow(_against(shared, words, percent), "a long, b long"), f"links-3-{k}"))
-        shared.unpersist()
+        held = (f"{scratch.root}-{k}", [r["doc_id"] for r in some], np.array([r["component"] for r in some]), [r["text"].encode() for r in some], {r: np.array(i) for r, i in regions.items()})
+        shared = rows.sparkSession.sparkContext.broadcast(held)  # BLOCK_SHINGLES words of text or so
+        out.append(scratch.write(rows.select("doc_id", "component", "text", "regions").mapInArrow(giving_back(_against(shared, words, percent)), "a long, b long"), f"links-3-{k}"))
+        shared.destroy()
+        del some, held, regions
     scratch.drop("meeting")
     links = None
     for x in out:
@@ -284,23 +294,23 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     body = only(docs, "doc_id", "text")
-    sketched = scratch.write(body.mapInArrow(_sketcher(words), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
+    sketched = scratch.write(body.mapInArrow(giving_back(_sketcher(words)), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.write(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.withColumnRenamed("digest", "of").hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of")), "left_semi")
     reps = scratch.write(reps.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "reps")
 
     keys = ["tree", "k1", "k2", "doc_id"]
-    orders = scratch.write(reps.mapInArrow(_ordered, "tree int, k1 long, k2 long, doc_id long"), "orders")
+    orders = scratch.write(reps.mapInArrow(giving_back(_ordered), "tree int, k1 long, k2 long, doc_id long"), "orders")
     schema = "kind int, a long, b long, tree int, k1 long, k2 long, doc_id long"
-    near = scratch.write(orders.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_neighbours(True), schema), "near")
+    near = scratch.write(orders.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(True)), schema), "near")
     scratch.drop("orders")
     # A few rows from each partition's ends: their number is that of the partitions.
-    across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).mapInArrow(_neighbours(False), schema)
+    across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(False)), schema)
     pairs = near.where("kind = 0").select("a", "b").union(across.where("kind = 0").select("a", "b")).dropDuplicates(["a", "b"])
 
     side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreement, "a long, b long, agreement double")
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(_agreement), "a long, b long, agreement double")
     pairs = scratch.write(scored.where(F.col("agreement") >= LEAST_AGREEMENT), "pairs")
     region = F.xxhash64("tree", "k1").alias("region")
     dense = scratch.write(near.where("kind = 2").select("doc_id", region).union(across.where("kind = 2").select("doc_id", region)).distinct(), "dense")
@@ -312,7 +322,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     def confirmed(some: DataFrame, name: str) -> DataFrame:
         of = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
         both = some.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-        return scratch.write(both.mapInArrow(_confirm(words, percent), "a long, b long"), name)
+        return scratch.write(both.mapInArrow(giving_back(_confirm(words, percent)), "a long, b long"), name)
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
     links = confirmed(best, "links-1")

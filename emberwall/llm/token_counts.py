@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import Scratch, only, text_views
+from .common import Scratch, giving_back, only, text_views
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int
         "left_semi",
     )
     # Rows that repeat the carrier itself are encoded with it, and stored once.
-    misses.select("digest", "text").mapInArrow(_counter(tokenizer), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(stored)
+    misses.select("digest", "text").mapInArrow(giving_back(_counter(tokenizer)), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(stored)
 
     counts = spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
