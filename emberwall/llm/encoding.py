@@ -18,9 +18,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Pieces of texts, and the parts that they are made of, kept per Python worker (about 200 bytes each).
-CACHE_WORDS, CACHE_PARTS = 150_000, 400_000
+CACHE_WORDS, CACHE_PARTS = 150_000, 600_000
 #: Texts are worked through in groups of about so many bytes.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 3_000_000
 
 #: Between an ASCII letter and ASCII punctuation other than the apostrophe both tokenizers always cut.
 PART = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])")
