@@ -91,7 +91,8 @@ def with_base(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*cols, text, F.sort_array(F.concat(*placed)).alias("base"))
 
 
-#: An identifier's slot: a word of at least LEAST_DIGITS digits, after the two words of its context.
+#: with_slots: words of at least LEAST_DIGITS digits, after the two words of their context. find_pii takes no
+#: part in this bound; its token groups come from occurrences().
 LEAST_DIGITS = 5
 BLANK, WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 #: A word before one that has a digit. The second is only looked at, so it can be the next match's first.
@@ -133,7 +134,7 @@ ROUNDS, LEAST_SCORE, LEAST_SEEDS, DOUBT = 3, 0.8, 4, 1.0
 
 
 def score_patterns(slots: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS) -> DataFrame:
-    """(context, kind, score, seeds) from slots(context, core, seed_kind).
+    """(context, kind, score, seeds) from slots(context, core, seed_kind); a null core is no instance, but weighs.
 
     The graph joins patterns (contexts) and instances (cores); an edge's weight is the number of
     slots. Instances that are base entities are certain. In each round a pattern's score is the
@@ -154,35 +155,157 @@ def score_patterns(slots: DataFrame, scratch: Scratch, *, rounds: int = ROUNDS)
         if k < rounds - 1:
             # Only patterns that seeds support pass scores on; 1e-9 keeps the logarithm finite.
             strong = patterns.where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
-            fresh = edges.where("seed_kind is null").join(strong, "context").groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("weight"))
+            fresh = edges.where("seed_kind is null and core is not null").join(strong, "context").groupBy("core", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("weight"))
             fresh = fresh.groupBy("core").agg(F.max_by("kind", "weight").alias("kind"), F.max("weight").alias("weight")).join(known.select("core"), "core", "left_anti")
             instances = known.unionByName(fresh.select("core", "kind", F.least("weight", F.lit(0.999)).alias("weight")))
     return patterns
 
 
+#: Characters of the shortest identifier that a base pattern matches (a@b.c); most words of an unseen one.
+LEAST_CHARS, MOST_WORDS = 5, 8
+#: A word after an identifier is known to follow a context if it does so for this share of the context's seeds.
+FOLLOWS = 0.1
+#: A context can be a pattern if at least this share of its places are base entities of one kind.
+LEAST_SHARE = 0.5
+START, END = "\u2402", "\u2403"  # stand for words before a text's first and after its last
+#: An address spelled out, and a word of several parts.
+SPELLED = rf"(?i)^{WORD}++{BLANK}++[(\[]?at[)\]]?{BLANK}++{WORD}++(?:{BLANK}++[(\[]?dot[)\]]?{BLANK}++{WORD}++)++"
+INNER = r"[\p{L}\p{N}][^\p{L}\p{N}\x20\x09-\x0D'\u2019]++[\p{L}\p{N}]"
+#: What doesn't belong to an identifier at a group's beginning and end; a bracket does if it is closed before the end.
+LEAD, TRAIL = r"^(?:[^\p{L}\p{N}+(@]|\((?=[^)]*+\)?[^\p{L}\p{N})]*+$))++", r"[^\p{L}\p{N}]+$"
+
+
+def _plain_words(text: Column) -> Column:
+    """A text's words in lower case, each run of digits as 9."""
+    return F.split(F.btrim(F.regexp_replace(F.lower(text), "[0-9]+", "9"), F.lit(" \t\n\x0b\x0c\r")), f"{BLANK}+")
+
+
+def _seed(text: Column, words: Column):
+    """A base span's context (the two words before the one it begins in), the word after it, and itself."""
+    whole = lambda end: F.regexp_count(F.substr(text, F.lit(1), end), F.lit(f"{WORD}++{BLANK}")).cast("int")
+
+    def seed(s):
+        p, q = whole(s["start"]), whole(s["end"])
+        context = F.concat_ws(" ", F.coalesce(F.get(words, p - 2), F.lit(START)), F.coalesce(F.get(words, p - 1), F.lit(START)))
+        return F.struct(s["kind"].alias("kind"), context.alias("context"), F.coalesce(F.get(words, q + 1), F.lit(END)).alias("right"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("core"))
+
+    return seed
+
+
+def seeded_contexts(seeds: DataFrame) -> DataFrame:
+    """(context, rights, known) of the contexts that stand before LEAST_SEEDS or more distinct base entities of a kind.
+
+    No other can become a pattern (score_patterns asks for as many seeds). rights: the words that follow; known: the number of
+    base spans of the context's most frequent kind.
+    """
+    n = seeds.groupBy("context", "kind", "core").agg(F.count(F.lit(1)).alias("n"))
+    kinds = n.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("cores"), F.sum("n").alias("n"))
+    enough = kinds.where(F.col("cores") >= LEAST_SEEDS).groupBy("context").agg(F.max("n").alias("known"))
+    after = seeds.groupBy("context", "right").agg(F.count(F.lit(1)).alias("n"))
+    after = after.join(seeds.groupBy("context").agg(F.count(F.lit(1)).alias("of")), "context").where(F.col("n") >= FOLLOWS * F.col("of"))
+    # At most 1 / FOLLOWS words for each context.
+    return enough.join(after.groupBy("context").agg(F.collect_set("right").alias("rights")), "context")
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """(__row, p, context) of every word of texts(__row, __t), the p-th from 0, with the two words before it."""
+    words = texts.select("__row", _plain_words(F.col("__t")).alias("w"))
+    back = lambda k: F.concat(F.array_repeat(F.lit(START), k), F.col("w"))
+    pairs = words.select("__row", F.posexplode(F.arrays_zip(back(2).alias("a"), back(1).alias("b"), F.col("w").alias("c"))).alias("p", "x")).where("x.c is not null")
+    return pairs.select("__row", "p", F.concat_ws(" ", "x.a", "x.b").alias("context"))
+
+
+def frequent_seeds(texts: DataFrame, contexts: DataFrame, *, max_contexts: int = 500_000) -> DataFrame:
+    """The contexts of which LEAST_SHARE of the places in all texts are known, so not just any two common words.
+
+    Pairs of words are counted (by hash) before they meet the contexts: common pairs have many places.
+    """
+    counts = places(texts).groupBy(F.xxhash64("context").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = contexts.withColumn("of", F.xxhash64("context"))
+    return counts.join(broadcast_if_small(keyed, max_contexts), F.col("h") == F.col("of")).where(F.col("known") >= LEAST_SHARE * F.col("n")).select(*contexts.columns)
+
+
+def occurrences(texts: DataFrame, contexts: DataFrame, scratch: Scratch, *, max_contexts: int = 500_000, max_rows: int = 20_000) -> DataFrame:
+    """(__row, context, core, start, end, seed_kind) for every place of texts(__row, __t, base) after one of contexts.
+
+    One look at each word of each text finds the places. There, the token group is taken: words with digits as far
+    as they go; a spelled-out address; else the words up to one that is known to follow; else a single word of
+    several parts. core is null if there is no such group, it is shorter than LEAST_CHARS or a base span lies in it:
+    such a place only counts against its context. A place that a base entity begins at is that entity's.
+    """
+    hits = places(texts).join(broadcast_if_small(contexts, max_contexts), "context")
+    rows = scratch.write(hits.groupBy("__row").agg(F.collect_list(F.struct("p", "context", "rights")).alias("hits")), "hits")
+    df = texts.join(broadcast_if_small(rows, max_rows), "__row")
+    df = df.select("__row", "base", "hits", F.length(F.regexp_extract("__t", f"^{BLANK}*+", 0)).alias("lead"), _plain_words(F.col("__t")).alias("w"), F.regexp_extract_all("__t", F.lit(f"{WORD}++{BLANK}*+"), F.lit(0)).alias("pieces"))
+
+    def near(h):
+        start = F.col("lead") + F.length(F.array_join(F.slice("pieces", F.lit(1), h["p"]), ""))
+        own = F.slice("pieces", h["p"] + 1, F.lit(MOST_WORDS))
+        return F.struct(h["context"].alias("context"), h["rights"].alias("rights"), start.alias("at"), own.alias("own"), F.concat(F.slice("w", h["p"] + 1, F.lit(MOST_WORDS + 1)), F.array(F.lit(END))).alias("plain"))
+
+    df = df.select("__row", "base", F.transform("hits", near).alias("hits"))
+    close = lambda h: F.filter("base", lambda b: (b["end"] > h["at"]) & (b["start"] < h["at"] + F.length(F.array_join(h["own"], ""))))
+    df = df.select("__row", F.explode(F.transform("hits", lambda h: F.struct(h.alias("h"), close(h).alias("base")))).alias("x")).select("__row", "x.h.*", "x.base")
+    bare = lambda x: F.rtrim(x, F.lit(" \t\n\x0b\x0c\r"))
+    first = F.length(bare(F.get("own", F.lit(0))))
+    df = df.withColumns(
+        {
+            "before": F.exists("base", lambda b: b["start"] < F.col("at")),
+            "seed": F.get(F.filter("base", lambda b: (b["start"] >= F.col("at")) & (b["start"] < F.col("at") + first)), F.lit(0)),
+            "stop": F.array_position(F.transform("plain", lambda x, k: (k > 0) & F.array_contains("rights", x)), True).cast("int") - 1,
+            "run": F.array_position(F.transform("own", lambda x, k: ~x.rlike("[0-9]") | ((k > 0) & F.coalesce(F.get("own", k - 1).rlike(f"[.,;:!?]{BLANK}*$"), F.lit(False)))), True).cast("int") - 1,
+            "whole": F.array_join("own", ""),
+        }
+    )
+    run = F.when(F.col("run") < 0, F.size("own")).otherwise(F.col("run"))
+    some = lambda n: F.array_join(F.slice("own", F.lit(1), n), "")
+    stop = F.when(F.col("stop").between(1, MOST_WORDS), F.col("stop"))
+    spelled = F.regexp_extract("whole", SPELLED, 0)
+    alone = F.get("own", F.lit(0))
+    group = F.when(run > 0, some(F.least(run, F.coalesce(stop, run)))).when(spelled != "", spelled).when(stop.isNotNull(), some(stop)).when(alone.rlike(INNER), alone)
+    df = df.where("not before").withColumn("group", bare(group))
+    df = df.withColumn("tail", F.regexp_replace("group", LEAD, ""))
+    df = df.withColumn("core", F.regexp_replace("tail", TRAIL, "")).withColumn("start", F.col("at") + F.length("group") - F.length("tail"))
+    df = df.withColumn("end", F.col("start") + F.length("core"))
+    good = (F.length("core") >= LEAST_CHARS) & ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    known = F.col("seed").isNotNull()
+    text_of = lambda s: F.substr("whole", s["start"] - F.col("at") + 1, s["end"] - s["start"])
+    return df.select("__row", "context", F.when(known, text_of(F.col("seed"))).when(good, F.col("core")).alias("core"), F.col("start").cast("int"), F.col("end").cast("int"), F.col("seed.kind").alias("seed_kind"))
+
+
 def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Per row of docs (with text): the kept columns, base (spans of the four kinds), found (by patterns) and spans (both).
 
-    1. One scan finds base spans and takes texts with digits apart into slots.
-    2. Slots that a base span touches are seeds; patterns are scored (score_patterns).
-    3. Slots of a high-scoring pattern that no base span touches become spans of its kind.
+    1. One scan finds base spans. Each is an instance; its context is the two words before the word it begins in.
+    2. More scans count and take every place after a context that stands before enough of them (frequent_seeds,
+       occurrences); where no context does, there is nothing to look for.
+    3. Patterns are scored over all these places (score_patterns). Token groups after a high-scoring one that no
+       base span touches become spans of its kind.
 
     Null texts are empty. Rows are told apart by an id given when the scan is written, so repeated
     rows each keep their spans. Without seeds no pattern scores, and spans equals base.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     body = only(docs, *keep, "text").toDF(*keep, "__t").withColumn("__t", F.coalesce("__t", F.lit("")))
-    taken = with_slots(with_base(body, "__t", keep), "__t").drop("__t").withColumn("__row", F.monotonically_increasing_id())
-    based = scratch.write(taken, "base")
-    touching = lambda s: F.filter("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-    slots = based.select("__row", F.explode("slots").alias("s"), "base")
-    slots = scratch.write(slots.select("__row", "s.*", F.get(touching(F.col("s")), F.lit(0))["kind"].alias("seed_kind")), "slots")
+    kept = [F.col(f"`{c}`") for c in keep]
+    based = with_base(body, "__t", keep).withColumn("__row", F.monotonically_increasing_id())
+    words = F.when(F.size("base") > 0, _plain_words(F.col("__t")))
+    based = based.select(*kept, "__t", "base", "__row", words.alias("__w"))
+    based = based.select(*kept, "__t", "base", "__row", F.transform("base", _seed(F.col("__t"), F.col("__w"))).alias("__seeds"))
+    based = scratch.write(based, "base")
+    contexts = scratch.write(seeded_contexts(based.where(F.size("__seeds") > 0).select(F.inline("__seeds"))), "contexts")
+    none = F.array().cast(SPANS)
+    if not contexts.isEmpty():
+        contexts = scratch.write(frequent_seeds(based.select("__row", "__t"), contexts), "frequent")
+    if contexts.isEmpty():
+        return based.select(*kept, "base", none.alias("found"), F.col("base").alias("spans"))
+    slots = scratch.write(occurrences(based.select("__row", "__t", "base"), contexts, scratch), "slots")
     patterns = score_patterns(slots, scratch).where((F.col("score") >= LEAST_SCORE) & (F.col("seeds") >= LEAST_SEEDS))
     best = patterns.groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    new = slots.where("seed_kind is null").join(best, "context").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").cast("int").alias("kind"), "end"))).alias("found"))
-    joined = based.join(new, "__row", "left")
-    found = F.coalesce("found", F.array().cast(SPANS))
-    return joined.select(*[F.col(f"`{c}`") for c in keep], "base", found.alias("found"), F.sort_array(F.concat("base", found)).alias("spans"))
+    new = slots.where("seed_kind is null and core is not null").join(best, "context").groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("start", F.col("kind").cast("int").alias("kind"), "end"))).alias("found"))
+    joined = based.drop("__t", "__seeds").join(new, "__row", "left")
+    found = F.coalesce("found", none)
+    return joined.select(*kept, "base", found.alias("found"), F.sort_array(F.concat("base", found)).alias("spans"))
 
 
 def spans_text(spans: str) -> Column:

@@ -96,3 +96,31 @@ def test_native(docs):
 def test_luhn(spark):
     df = spark.createDataFrame([("4111111111111111",), ("4111111111111112",), ("0",)], "d string")
     assert [r[0] for r in df.select(pii.luhn(F.col("d"))).collect()] == [True, False, True]
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["found"] for r in pii.find_pii(df, ["doc_id"]).collect()}
+    return {k: [(s["kind"], t[s["start"] : s["end"]]) for s in rows[k]] for k, t in enumerate(texts) if rows[k]}
+
+
+def test_unseen_identifiers_of_any_form_are_found(spark):
+    """Few digits, none at all, or digits in groups: the context decides."""
+    names = [a + b for a in ("ann", "bob", "cy") for b in ("lee", "may", "roy", "fox")]
+    texts = [f"send to my email: {x}@corp.org thanks" for x in names] + [f"from server at {k}.1.2.3 port" for k in range(12)]
+    texts += [f"paid by card 411111111111{k} ok" for k in (1111, 1129, 1137, 1145, 1152, 1160, 1178, 1186, 1194, 1202)]
+    n = len(texts)
+    texts += ["send to my email: jane at corp dot org thanks", "send to my email: jane.doe(at)corp soon", "from server at 10.1.2 port", "paid by card 4111 1111 1111 1112 ok", "paid by letter 4111 1111 1111 1112 ok"]
+    got = found(spark, texts)
+    assert got == {n: [(0, "jane at corp dot org")], n + 1: [(0, "jane.doe(at)corp")], n + 2: [(1, "10.1.2")], n + 3: [(2, "4111 1111 1111 1112")]}
+
+
+def test_common_words_are_no_identifiers(spark):
+    texts = [f"write of the user{x}@corp.org now" for x in "abcdefgh"] + [f"end of the {w} now" for w in ("house", "river", "street", "people")]
+    assert found(spark, texts) == {}
+
+
+def test_words_before_a_phone_are_its_context(spark):
+    texts = [f"Please call Agent line +1 (555) 010-{k:04d} today" for k in range(1000, 1012)]
+    texts += ["Please call me, or dial: Agent line 0155-0109-22 now", "account number 987654321 here", "call Agent line 77", "please call Agent line (017) 555 7713, or wait"]
+    assert found(spark, texts) == {12: [(3, "0155-0109-22")], 15: [(3, "(017) 555 7713")]}
