@@ -21,6 +21,8 @@ FIT_DOCS, LEAST_DOCS = 500, 5
 WEIGHT, CEILING = 0.5, 400
 #: Chance that a declared language or suffix's usual language is wrong, and weight (in documents) of each level's parent.
 WRONG, PULL = 0.1, 20.0
+#: Share of documents, before they are looked at, that are noise or in a language without labels.
+OTHER = 0.01
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -32,9 +34,14 @@ _MUTE[33:65] = _MUTE[91:97] = _MUTE[123:127] = True
 
 @dataclass(frozen=True)
 class TextModel:
+    """All labelled languages. The first len(table) have a text model; the others are too rare for one."""
+
     languages: tuple[str, ...]
-    #: Log probabilities, a row for each language; a last bucket of zeros is for what doesn't count.
+    #: Log of a bucket's probability over that of the background (all buckets alike), a row for each language
+    #: with a text model; a last bucket of zeros is for what doesn't count.
     table: np.ndarray
+    #: Share of each language among the labels.
+    shares: tuple[float, ...] = ()
 
 
 def _trigrams(texts: list[memoryview]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,21 +70,23 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
     The bound keeps the driver's share at a few MB; all else in this module covers all rows.
     """
     rows = only(docs, "doc_id", "text", label).toDF("doc_id", "text", "label").where("label is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().orderBy(F.desc("count")).limit(100).collect() if r[1] >= LEAST_DOCS}
-    languages = tuple(sorted(counts))
-    if not languages:
-        return TextModel((), np.zeros((0, BUCKETS + 1), np.float32))
-    share = F.create_map(*[F.lit(y) for k in languages for y in (k, min(1.0, per_language / counts[k]))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.try_element_at(share, F.col("label")) * 1_000_000)
-    seen = np.full((BUCKETS + 1, len(languages)), 0.05)
+    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row for each language
+    ample, rare = sorted(k for k in counts if counts[k] >= LEAST_DOCS), sorted(k for k in counts if counts[k] < LEAST_DOCS)
+    languages, total = (*ample, *rare), sum(counts.values())
+    shares = tuple(counts[k] / total for k in languages)
+    if not ample:
+        return TextModel(languages, np.zeros((0, BUCKETS + 1), np.float16), shares)
+    share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in ample], "of string, share double"))
+    picked = rows.join(share, F.col("label") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    at, seen = {k: i for i, k in enumerate(ample)}, np.zeros((len(ample), BUCKETS + 1), np.float32)
     for r in picked.select("label", "text").toLocalIterator():
         bucket, _ = _trigrams([memoryview(r["text"].encode("utf-8", "surrogatepass"))])
-        seen[:, languages.index(r["label"])] += np.bincount(bucket, minlength=BUCKETS + 1)
-    seen[BUCKETS] = 0
-    table = np.log(np.maximum(seen, 1e-9) / seen.sum(axis=0))
-    table -= table.mean(axis=1, keepdims=True)  # only differences between languages matter
-    table[BUCKETS] = 0
-    return TextModel(languages, np.ascontiguousarray(table.T, np.float32))
+        seen[at[r["label"]]] += np.bincount(bucket, minlength=BUCKETS + 1)
+    table = np.zeros(seen.shape, np.float16)
+    for i, row in enumerate(seen):
+        row = row[:BUCKETS] + 0.05
+        table[i, :BUCKETS] = np.log(row / row.sum(dtype=np.float64)) + np.log(BUCKETS)
+    return TextModel(languages, table, shares)
 
 
 def _scorer(shared, names: list[str], scanned: str):
@@ -90,9 +99,10 @@ def _scorer(shared, names: list[str], scanned: str):
             for group in grouped(text_views(b.column(scanned)), SCAN_BYTES):
                 bucket, begins = _trigrams(group)
                 n = np.add.reduceat((bucket < BUCKETS).astype(np.int64), begins)
-                if model.languages:
-                    sums = np.stack([np.add.reduceat(row[bucket], begins, dtype=np.float64) for row in model.table], axis=1)
-                    logs.append(sums * (np.minimum(n * WEIGHT, CEILING) / np.maximum(n, 1))[:, None])
+                sums = np.zeros((len(group), len(model.languages)))
+                for k, row in enumerate(model.table):
+                    sums[:, k] = np.add.reduceat(row[bucket], begins, dtype=np.float64)
+                logs.append(sums * (np.minimum(n * WEIGHT, CEILING) / np.maximum(n, 1))[:, None])
                 letters.append(_letters(group))
             flat = np.concatenate(logs).ravel() if logs else np.zeros(0)
             width = len(model.languages)
@@ -104,45 +114,50 @@ def _scorer(shared, names: list[str], scanned: str):
 
 
 def score_text(docs: DataFrame, model: TextModel, carry: list[str]) -> DataFrame:
-    """The carried columns, log_text (a number for each language of the model) and n_letters (bytes of letters), of whole texts."""
+    """The carried columns, log_text (for each language, its log likelihood over the background's) and n_letters (bytes of letters), of whole texts."""
     scanned = "text" if "text" in carry else "__scanned"
     body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [scanned]))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c in carry)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 65 537 numbers for each of at most 100 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 128 KB for each language with a text model
     return body.mapInArrow(giving_back(_scorer(shared, carry, scanned)), f"{ddl}, log_text array<double>, n_letters long")
 
 
 def _literal(model: TextModel) -> Column:
-    return F.array(*[F.lit(x) for x in model.languages])
+    return F.lit(list(model.languages))
 
 
 def host_priors(scored: DataFrame, model: TextModel) -> DataFrame:
     """(host, suffix, prior): log prior of each language, smoothed towards the suffix's and the suffix's towards all rows'.
 
     Grouped counts of the text's own best language, over all rows: the table of counts has a row for
-    each host, and is aggregated where the rows are before it moves.
+    each host and language, and is aggregated where the rows are before it moves. A text that the background explains
+    better counts for its declared language if that has no text model, else for none.
     """
-    n = len(model.languages)
+    n, modelled = len(model.languages), len(model.table)
     best = F.array_position("log_text", F.array_max("log_text")) - 1
-    ones = [F.sum(((best == k) & (F.col("n_letters") > 0)).cast("long")).alias(f"c{k}") for k in range(n)]
-    cs = [f"c{k}" for k in range(n)]
-    hosts = Scratch(scored.sparkSession, "hosts").write(scored.groupBy("host", "suffix").agg(*ones), "counts")
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(c).alias(f"s_{c}") for c in cs])
-    whole = suffixes.agg(*[F.sum(f"s_{c}").alias(f"g_{c}") for c in cs])
-    total = lambda p: sum((F.col(f"{p}{c}") for c in cs), F.lit(0))
-    level = [(F.col(f"g_{c}") + 1) / (total("g_") + n) for c in cs]
-    level = [(F.col(f"s_{c}") + PULL * g) / (total("s_") + PULL) for c, g in zip(cs, level, strict=True)]
-    level = [(F.col(c) + PULL * g) / (total("") + PULL) for c, g in zip(cs, level, strict=True)]
-    joined = hosts.join(broadcast_if_small(suffixes, 100_000).withColumnRenamed("suffix", "of"), F.col("suffix").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(whole))  # one row
-    return joined.select("host", "suffix", F.array(*[F.log(x) for x in level]).alias("prior"))
+    rare = F.array_position(_literal(model), F.col("declared")) - 1
+    own = F.when(F.array_max("log_text") > 0, best).when(rare >= modelled, rare)
+    scratch = Scratch(scored.sparkSession, "hosts")
+    # Hosts without any such text have a row too, of no language.
+    counted = scratch.write(scored.groupBy("host", "suffix", F.when(F.col("n_letters") > 0, own).alias("k")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    entries = F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n")))).alias("of_k")
+    dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.try_element_at(m, k.cast("long")), F.lit(0)).cast("double"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    level = lambda c, above: F.zip_with(c, above, lambda x, y: (x + PULL * y) / (total(c) + PULL))
+    tables = lambda *by: (counted.groupBy(*by, "k").agg(F.sum("n").alias("n")).groupBy(*by).agg(entries)).select(*by, dense(F.col("of_k")).alias("c"))
+    whole = tables().select(F.transform("c", lambda x: (x + 1) / (total(F.col("c")) + n)).alias("g"))
+    suffixes = tables("suffix").crossJoin(F.broadcast(whole)).select(F.col("suffix").alias("of"), level(F.col("c"), F.col("g")).alias("s"))  # one row
+    joined = tables("host", "suffix").join(broadcast_if_small(scratch.write(suffixes, "suffixes"), 100_000), F.col("suffix").eqNullSafe(F.col("of")))
+    return joined.select("host", "suffix", F.transform(level(F.col("c"), F.col("s")), lambda x: F.log(x)).alias("prior"))
 
 
 def fuse(scored: DataFrame, priors: DataFrame, model: TextModel, carry: list[str], *, least: float = 0.5, max_hosts: int = 50_000) -> DataFrame:
     """Adds language, posterior and accepted.
 
     Posterior of a language: its text likelihood, times that of the declared language (right
-    with probability 1 - WRONG), times the host's prior (which holds the suffix's). A
-    document is rejected if no language reaches least, or its text has no letters at all. Null hosts, suffixes and
+    with probability 1 - WRONG), times the host's prior (which holds the suffix's). The background, for noise and for
+    languages without labels, takes part: all trigrams alike, prior OTHER, and a declaration that is wrong. A
+    document is rejected if no language reaches least, or its text has no letters at all; language is then the likeliest still. Null hosts, suffixes and
     declarations are simply no evidence of their own: null hosts share one prior.
     """
     n = len(model.languages)
@@ -151,15 +166,17 @@ def fuse(scored: DataFrame, priors: DataFrame, model: TextModel, carry: list[str
     right, wrong = float(np.log(1 - WRONG)), float(np.log(WRONG / max(1, n - 1)))
     known = F.array_contains(_literal(model), F.col("declared"))
     stated = F.transform(_literal(model), lambda x: F.when(F.coalesce(known, F.lit(False)), F.when(x == F.col("declared"), right).otherwise(wrong)).otherwise(0.0))
+    share = F.try_element_at(F.lit(list(model.shares)), F.array_position(_literal(model), F.col("declared")).cast("int"))
+    other = float(np.log(OTHER)) + F.when(F.coalesce(known, F.lit(False)), F.log(WRONG * share)).otherwise(0.0)
     small = broadcast_if_small(priors.select(F.col("host").alias("of_host"), F.col("suffix").alias("of_suffix"), "prior"), max_hosts)
     joined = scored.join(small, F.col("host").eqNullSafe(F.col("of_host")) & F.col("suffix").eqNullSafe(F.col("of_suffix")))
     logs = F.zip_with(F.zip_with("log_text", "prior", lambda x, y: x + y), stated, lambda x, y: x + y)
-    joined = joined.withColumn("__logs", logs)
+    joined = joined.withColumn("__logs", logs).withColumn("__other", other)
     top = F.array_max("__logs")
     joined = joined.select(
         *[F.col(f"`{c}`") for c in carry],
         F.get(_literal(model), (F.array_position("__logs", top) - 1).cast("int")).alias("language"),
-        (1 / F.aggregate("__logs", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("posterior"),
+        (1 / F.aggregate("__logs", F.exp(F.col("__other") - top), lambda a, x: a + F.exp(x - top))).alias("posterior"),
         F.col("n_letters"),
     )
     return joined.withColumn("accepted", (F.col("posterior") >= least) & (F.col("n_letters") > 0)).drop("n_letters")

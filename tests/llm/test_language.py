@@ -72,3 +72,27 @@ def test_pages(spark):
     got = language.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert got[0]["text"].split() == ["Hallo", "Welt"]
     assert [(r["declared"], r["host"], r["suffix"]) for r in got] == [("de", "www.example.de", "de"), (None, None, None), (None, None, None)]
+
+
+FOREIGN = ["Съешь же ещё этих мягких французских булок да выпей чаю", "我能吞下玻璃而不伤身体", "xqzvk wjqpf zzgkx vbnqw kjhgx qqwzx", "TWFuIGlzIGRpc3Rpbmd1aXNoZWQsIG5vdCBvbmx5IGJ5IGhpcyByZWFzb24"]
+
+
+@pytest.mark.parametrize("declared", [None, "en"])
+def test_noise_and_other_languages_are_rejected(model, spark, declared):
+    rows = [(k, x, declared, None, None) for k, x in enumerate(FOREIGN)] + [(10 + k, text("fr", 3 + k, k), None, None, None) for k in range(5)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, declared string, host string, suffix string"), model)
+    assert [got[k]["accepted"] for k in range(4)] == [False] * 4
+    assert all(got[k]["accepted"] and got[k]["language"] == "fr" for k in range(10, 15))
+
+
+def test_every_label_is_a_language(labelled, spark):
+    """More than a hundred languages, and one of a single document."""
+    letters = "abcdefghijklm"
+    rows = [(10_000 + 10 * i + k, " ".join([a + b + a, b + a + b] * 20), a + b + "x", None, 0) for i, (a, b) in enumerate((a, b) for a in letters for b in letters if a != b) for k in range(5)]
+    rows += [(1, "Съешь же ещё этих мягких булок", "ru", None, 0)]
+    docs = labelled.unionByName(spark.createDataFrame(rows, cases.COLUMNS))
+    model = language.fit(docs)
+    assert len(model.languages) == 3 + 156 + 1 and len(model.table) == 3 + 156
+    got = identify(language.document_evidence(docs.select("doc_id", "text", "lang", "source")), model)
+    assert got[1]["language"] == "ru" and got[1]["accepted"]
+    assert all(got[r[0]]["language"] == r[2] for r in rows)
