@@ -22,8 +22,6 @@ class Risk:
     #: Proposals, the mildest first: (slack, share). A rule's cutoff is the quantile that leaves share of the good
     #: documents beyond it, put out further by slack times its distance from their median.
     steps: tuple[tuple[float, float], ...] = ((2.0, 0.0), (1.0, 0.0), (0.5, 0.0), (0.25, 0.0), (0.0, 0.0), (0.0, 0.001), (0.0, 0.002), (0.0, 0.004))
-    #: Labelled rows used at most (a sample by hash beyond that).
-    max_labels: int = 1_000_000
 
 
 #: Rules: a measure, and whether too high (1) or too low (-1) values fail.
@@ -110,16 +108,13 @@ def _cut(rule: str, step: int, slack: float) -> Column:
 def thresholds(counted: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """Tested cutoffs: stratum, step, n, k, p_value, certified and a cutoff for each rule.
 
-    counted has doc_id, stratum and the counts; labels has doc_id and quality (1: good). Labelled
+    counted has doc_id, stratum and the counts; labels has doc_id and quality (1: good). All labels count. Labelled
     documents that pass the base rules are split by a hash of doc_id. A third proposes cutoffs for each
     step from its good documents' quantiles. The rest, untouched so far, tests each step's
     rules together: of n good documents k are rejected, and the exact binomial p-value of
     "more than limit are" must be at most error / (strata * steps) (Bonferroni).
     """
-    n_labels = labels.count()
-    share = min(1.0, risk.max_labels / max(1, n_labels))
-    some = only(labels, "doc_id", "quality").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    good = some.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
+    good = only(labels, "doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counted.where(~base_failed()).where("stratum is not null").join(good, "doc_id", "left_semi").select("stratum", "doc_id", *[c.alias(m) for m, c in measures().items()])
     held = held.withColumn("proposes", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(3)) == 0)
     at = F.array(F.lit(0.5), *[F.lit(1 - share) for _, share in risk.steps])

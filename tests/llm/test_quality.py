@@ -65,3 +65,12 @@ def test_no_limit_without_evidence(labelled, spark):
 def test_native(docs, spark):
     plan = quality.with_counts(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_all_labels_count_however_many_there_are(labelled, spark):
+    """Millions of labels elsewhere leave a small stratum its own."""
+    docs, labels = labelled
+    many = labels.unionByName(spark.range(10**6, 7 * 10**6).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    counted = quality.with_counts(docs.withColumnRenamed("lang", "stratum"), ["doc_id", "stratum"])
+    rows = lambda x: sorted((r["stratum"], r["step"], r["n"], r["k"], r["certified"]) for r in quality.thresholds(counted, x).collect())
+    assert rows(many) == rows(labels)
