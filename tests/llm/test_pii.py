@@ -121,6 +121,6 @@ def test_common_words_are_no_identifiers(spark):
 
 
 def test_words_before_a_phone_are_its_context(spark):
-    texts = [f"Please call Agent line +1 (555) 010-{k:04d} today" for k in range(1000, 1012)]
+    texts = [f"Please call Agent line +1 (555) 010-{k:04d} today" for k in range(1000, 1020)]
     texts += ["Please call me, or dial: Agent line 0155-0109-22 now", "account number 987654321 here", "call Agent line 77", "please call Agent line (017) 555 7713, or wait"]
-    assert found(spark, texts) == {12: [(3, "0155-0109-22")], 15: [(3, "(017) 555 7713")]}
+    assert found(spark, texts) == {20: [(3, "0155-0109-22")], 23: [(3, "(017) 555 7713")]}
