@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a temporary folder is made and set.
+    Where that is unset a temporary folder is made and set if all runs on this machine, as in tests; on a cluster it is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="emberwall-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -42,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.root = spark, f"{scratch_root(spark)}/emberwall-{label}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -56,10 +59,37 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            delete(self.spark, self.path(name))
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df written as the table that stays; every other table is deleted."""
+        out = self.write(df, "result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if status.getPath().getName() != "result":
+                self.drop(status.getPath().getName())
+        return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Folders that Scratch objects of this process use, the oldest first.
+_roots: list[str] = []
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes, after a with-block, all scratch tables that were begun in it: for results that have been written elsewhere."""
+    before = len(_roots)
+    try:
+        yield
+    finally:
+        while len(_roots) > before:
+            delete(spark, _roots.pop())
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

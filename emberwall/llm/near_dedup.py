@@ -43,7 +43,7 @@ def _sketcher(words: int):
                 n += [len(s) for s in sets]
                 digest += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sketch += [x.tobytes() for x in sketches(sets, BINS)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "key", "n_shingles", "digest", "sketch"])
 
     return run
 
@@ -59,9 +59,9 @@ def _ordered(batches):
             some = values[k : k + 2000][:, at].astype(">u2")  # documents x orders x values
             packed = np.ascontiguousarray(some).view(">u8").astype(np.uint64).view(np.int64).reshape(-1, KEYS // 4)
             n = len(some)
-            ids = np.repeat(b.column("doc_id").slice(k, 2000).to_numpy(zero_copy_only=False).astype(np.int64), ORDERS)
+            ids = np.repeat(b.column("node").slice(k, 2000).to_numpy(zero_copy_only=False).astype(np.int64), ORDERS)
             order = np.tile(np.arange(ORDERS, dtype=np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(packed[:, 0]), pa.array(packed[:, 1]), pa.array(ids)], ["tree", "k1", "k2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(packed[:, 0]), pa.array(packed[:, 1]), pa.array(ids)], ["tree", "k1", "k2", "node"])
 
 
 def _depth(k2: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def _neighbours(edges: bool):
     def run(batches):
         import pyarrow as pa
 
-        names = ["kind", "a", "b", "tree", "k1", "k2", "doc_id"]
+        names = ["kind", "a", "b", "tree", "k1", "k2", "node"]
 
         def pairs_out(found, held):
             for i, j in found:
@@ -131,7 +131,7 @@ def _neighbours(edges: bool):
 
         held, began, done = None, False, 0
         for b in batches:
-            new = [b.column(k).to_numpy(zero_copy_only=False) for k in ("tree", "k1", "k2", "doc_id")]
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in ("tree", "k1", "k2", "node")]
             if not len(new[0]):
                 continue
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
@@ -182,90 +182,118 @@ def _confirm(words: int, percent: int):
     return run
 
 
-#: Words of the stragglers that one scan compares with: 3 MB of text on the driver, 4 MB of sets in a worker.
-BLOCK_SHINGLES = 500_000
+#: Shingles in more documents than this are frequent: they come last in every set's order. At most so many are frequent.
+LONG_LIST, FREQUENT = 64, 500_000
+#: Rows of a frequent shingle's list that one task compares with.
+BLOCK_ROWS = 1000
 
 
-#: The block that this Python worker has taken apart last, by name.
-_taken_apart: dict[str, list[np.ndarray]] = {}
+def _sets(words: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = 0
+            for group in grouped(text_views(b.column("text")), SCAN_BYTES):
+                sets = shingle_sets(group, words)
+                flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(at, len(group)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
+                at += len(group)
+
+    return run
+
 
+def _prefixes(frequent, percent: int):
+    """The first shingles of each set, in an order common to all: those that aren't frequent by hash, then the frequent by rank.
 
-def _against(block, words: int, percent: int):
-    """Confirmed links between the rows and a block of stragglers that share a region with them but no component."""
+    Two similar sets share one of these, and the first that they share stands so early in both that the rest can
+    hold what similarity asks for: most is the size of the largest set that a row's set could still be similar to.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        name, ids, components, texts_held, regions = block.value
-        if name not in _taken_apart:
-            _taken_apart.clear()
-            _taken_apart[name] = [s for g in grouped(map(memoryview, texts_held), SCAN_BYTES) for s in shingle_sets(g, words)]
-        sets = _taken_apart[name]
-        sizes = np.array([len(s) for s in sets])
-        own = sketches(sets, BINS)
-        done = set()
+        keys, ranks = frequent.value
         for b in batches:
-            texts, comp, shared, a_out, b_out = text_views(b.column("text")), b.column("component").to_pylist(), b.column("regions").to_pylist(), [], []
-            doc = b.column("doc_id").to_pylist()
-            at = 0
-            for group in grouped(texts, SCAN_BYTES):
-                theirs = shingle_sets(group, words)
-                sketch = sketches(theirs, BINS)
-                for k, s in enumerate(theirs):
-                    c = comp[at + k]
-                    near = [regions[r] for r in shared[at + k] if r in regions]
-                    if not near:
-                        continue
-                    x = np.unique(np.concatenate(near))
-                    x = x[(components[x] != c) & (100 * np.minimum(sizes[x], len(s)) >= percent * np.maximum(sizes[x], len(s)))]
-                    for i in x[(own[x] == sketch[k]).mean(axis=1) >= LEAST_AGREEMENT].tolist():
-                        # One link of a straggler to a component is as good as all.
-                        if (i, c) not in done and similar(sets[i], s, percent):
-                            done.add((i, c))
-                            a_out.append(min(ids[i], doc[at + k]))
-                            b_out.append(max(ids[i], doc[at + k]))
-                at += len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
+            lists, out = b.column("shingles"), []
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k in range(b.num_rows):
+                s = values[ends[k] : ends[k + 1]]
+                n = len(s)
+                rank = np.zeros(n, np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    rank = np.where(keys[at] == s, ranks[at], 0)
+                first = np.lexsort((s, rank))[: n - -(-percent * n // 100) + 1]
+                most = (100 + percent) * (n - np.arange(len(first))) // percent - n
+                out.append((s[first], np.full(len(first), k), np.full(len(first), n), most, rank[first] > 0))
+            if out:
+                shingle, row, n, most, often = map(np.concatenate, zip(*out, strict=True))
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), b.column("node").take(of), b.column("component").take(of), pa.array(n), pa.array(most), pa.array(often)], ["shingle", "node", "component", "n", "most", "often"])
 
     return run
 
 
-def _straggler_links(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
-    """All links between components that meet in a dense region; None if no region holds two.
+def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
+    """Candidates (a, b) between components that meet in a dense region: a superset of all links; None if no region holds two.
 
-    In such a region every document outside its largest component is a straggler. Stragglers are
-    taken in blocks of bounded size against all documents of those regions: an exact
-    comparison for whatever the chains of neighbours did not join.
+    An exact join of the documents of those regions with size, prefix and position filters. Shingles that are frequent there,
+    such as those of boilerplate, come last in the order, so documents that share only them are never compared.
+    A list of at most LONG_LIST documents is joined with itself. In a longer list only the documents outside its largest
+    component are compared with the others, in blocks. The table of frequent shingles that is broadcast has at most FREQUENT rows.
     """
-    labelled = dense.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "region", F.coalesce("component", "doc_id").alias("component"))
+    labelled = dense.join(found, "node", "left").select("node", "region", F.coalesce("component", "node").alias("component"))
     labelled = scratch.write(labelled, "dense-components")
-    counted = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = scratch.write(counted.groupBy("region").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("components")).where("components > 1"), "mixed")
-    in_mixed = labelled.join(mixed, "region")
-    rows = in_mixed.groupBy("doc_id", "component").agg(F.collect_set("region").alias("regions"), F.collect_set(F.when(F.col("component") != F.col("largest"), F.col("region"))).alias("outside"))
-    rows = scratch.write(rows.join(texts.dropDuplicates(["doc_id"]), "doc_id"), "meeting")  # at most ORDERS regions each
-    outside = rows.where(F.size("outside") > 0)
-    shingles = outside.agg(F.sum(F.size(F.split("text", "[ \t\n\x0B\f\r]+")).cast("long"))).first()[0] or 0
-    blocks = -(-shingles // BLOCK_SHINGLES)
-    out = []
-    for k in range(blocks):
-        some = outside.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).select("doc_id", "component", "text", "outside").collect()
-        if not some:
-            continue
-        regions: dict[int, list[int]] = {}
-        for i, r in enumerate(some):
-            for region in r["outside"]:
-                regions.setdefault(region, []).append(i)
-        held = (f"{scratch.root}-{k}", [r["doc_id"] for r in some], np.array([r["component"] for r in some]), [r["text"].encode() for r in some], {r: np.array(i) for r, i in regions.items()})
-        shared = rows.sparkSession.sparkContext.broadcast(held)  # BLOCK_SHINGLES words of text or so
-        out.append(scratch.write(rows.select("doc_id", "component", "text", "regions").mapInArrow(giving_back(_against(shared, words, percent)), "a long, b long"), f"links-3-{k}"))
-        shared.destroy()
-        del some, held, regions
-    scratch.drop("meeting")
-    links = None
-    for x in out:
-        links = x if links is None else links.union(x)
-    return links
+    mixed = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.count(F.lit(1)).alias("components")).where("components > 1")
+    meeting = labelled.join(mixed.select("region"), "region", "left_semi").select("node", "component").distinct()
+    sets = texts.join(meeting.select("node"), "node", "left_semi").mapInArrow(giving_back(_sets(words)), "node long, shingles array<long>")
+    sets = scratch.write(sets, "sets")
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch.write(counts.where(F.col("n") > LONG_LIST), "counts")
+    most = max(LONG_LIST, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)  # fewer than FREQUENT shingles stand more often
+    if sets.isEmpty():
+        return None
+    table = counts.where(F.col("n") > most).toPandas()
+    keys = table["shingle"].to_numpy(np.int64)
+    ranks = np.empty(len(keys), np.int64)
+    ranks[np.lexsort((keys, table["n"].to_numpy()))] = np.arange(1, len(keys) + 1)
+    by_key = np.argsort(keys)
+    shared = sets.sparkSession.sparkContext.broadcast((keys[by_key], ranks[by_key]))
+    schema = "shingle long, node long, component long, n long, most long, often boolean"
+    rows = scratch.write(sets.join(meeting, "node").mapInArrow(giving_back(_prefixes(shared, percent)), schema), "prefixes")
+
+    fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    few = rows.where("not often")
+    lists = few.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest").select("shingle")
+    few = scratch.write(few.join(lists, "shingle", "left_semi"), "short-lists")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & fits).select(*pair)
+
+    # Of two similar sets the smaller has room for its own size: without such a row a list gives no pair.
+    often = rows.where("often")
+    by_component = often.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("most") >= F.col("n")).cast("int")).alias("root"))
+    lists = by_component.groupBy("shingle").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("of"), F.count(F.lit(1)).alias("components"), F.max("root").alias("root"))
+    lists = lists.where("components > 1 and root = 1").select("shingle", "largest", F.ceil(F.col("of") / BLOCK_ROWS).cast("int").alias("blocks"))
+    lists = F.broadcast(scratch.write(lists, "long-lists"))  # fewer than FREQUENT rows
+    held = often.join(lists, "shingle")
+    one = held.where("component <> largest").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    at = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block"))
+    pairs = pairs.union(one.alias("x").join(other.alias("y"), at & fits).select(*pair))
+    pairs = scratch.write(pairs.distinct(), "left-over")
+    shared.unpersist()
+    scratch.drop("sets", "counts", "prefixes", "short-lists", "long-lists", "dense-components")
+    return pairs
+
+
+def _repeated_ids(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of documents whose id stands in several rows with unlike texts."""
+    ids = usable.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("doc_id")
+    of = usable.join(ids, "doc_id").select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "node")
+    least = of.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return of.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -275,71 +303,86 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     or more; a component's id is its smallest doc_id, and that document is kept.
 
     1. One scan makes each document's sketch and a digest of its shingle set. Documents of one
-       digest are a class; only its smallest doc_id goes on, so copies are never paired.
-    2. Forest: class representatives are sorted by each of ORDERS orders of sketch values, in
+       digest are a class; only one of them, the class's node, goes on, so copies are never paired.
+    2. Forest: nodes are sorted by each of ORDERS orders of sketch values, in
        ranges, so that a dense region is split anywhere. Each row is paired with its neighbour if
        at least DEPTH values agree. Regions of up to REGION documents give all their pairs; denser ones
        are taken at greater depth until they are as small, and give chains of neighbours above that.
     3. Pairs whose sketches agree enough are confirmed on full sets made anew from both texts: first
        each document's most alike partner, then, after joining components, the pairs between
        components that are still apart.
-    4. Where a dense region still holds several components, its documents outside the largest are compared
-       with all of the region, in blocks (_straggler_links), so that depth costs no link.
+    4. Where a dense region still holds several components, depth may have cost links. Its documents go through an
+       exact join with prefix and position filters (_left_over), and what it finds is confirmed the same way.
 
-    Documents without words (or text) have no shingle and no link. Rows that repeat a doc_id
-    share its component; a null doc_id has none (null, not kept). Every step between scans is
-    written to the shared folder, so a lost executor costs a stage at most. Work grows as
-    documents times ORDERS: no step makes all pairs of a group.
+    Documents without words (or text) have no shingle and no link. Rows that repeat a doc_id share its
+    component, whatever their texts; a null doc_id has none (null, not kept) and links nothing. Every step between
+    scans is written to the shared folder, so a lost executor costs a stage at most; all but the result is deleted. Work
+    grows as documents times ORDERS: no step makes all pairs of a group.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dedup")
-    body = only(docs, "doc_id", "text")
-    sketched = scratch.write(body.mapInArrow(giving_back(_sketcher(words)), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    body = only(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
+    sketched = scratch.write(body.mapInArrow(giving_back(_sketcher(words)), "doc_id long, key long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(usable.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = usable.join(classes.withColumnRenamed("digest", "of").hint("shuffle_hash"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of")), "left_semi")
-    reps = scratch.write(reps.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "reps")
-
-    keys = ["tree", "k1", "k2", "doc_id"]
-    orders = scratch.write(reps.mapInArrow(giving_back(_ordered), "tree int, k1 long, k2 long, doc_id long"), "orders")
-    schema = "kind int, a long, b long, tree int, k1 long, k2 long, doc_id long"
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
+    classes = scratch.write(classes.select("digest", F.monotonically_increasing_id().alias("node"), "rep.doc_id", "rep.key"), "classes")
+    of = classes.select("node", *[F.col(c).alias(f"of_{c}") for c in ("doc_id", "key", "digest")]).hint("shuffle_hash")
+    reps = usable.join(of, (F.col("doc_id") == F.col("of_doc_id")) & (F.col("digest") == F.col("of_digest")) & (F.col("key") == F.col("of_key")))
+    reps = scratch.write(reps.dropDuplicates(["of_doc_id", "of_digest", "of_key"]).select("node", "sketch"), "reps")
+
+    keys = ["tree", "k1", "k2", "node"]
+    orders = scratch.write(reps.mapInArrow(giving_back(_ordered), "tree int, k1 long, k2 long, node long"), "orders")
+    schema = "kind int, a long, b long, tree int, k1 long, k2 long, node long"
     near = scratch.write(orders.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(True)), schema), "near")
     scratch.drop("orders")
     # A few rows from each partition's ends: their number is that of the partitions.
     across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(False)), schema)
     pairs = near.where("kind = 0").select("a", "b").union(across.where("kind = 0").select("a", "b")).dropDuplicates(["a", "b"])
 
-    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(_agreement), "a long, b long, agreement double")
-    pairs = scratch.write(scored.where(F.col("agreement") >= LEAST_AGREEMENT), "pairs")
+    def scored(some: DataFrame, name: str) -> DataFrame:
+        """The pairs whose sketches agree enough."""
+        side = lambda k: reps.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
+        rows = some.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(_agreement), "a long, b long, agreement double")
+        return scratch.write(rows.where(F.col("agreement") >= LEAST_AGREEMENT), name)
+
+    pairs = scored(pairs, "pairs")
     region = F.xxhash64("tree", "k1").alias("region")
-    dense = scratch.write(near.where("kind = 2").select("doc_id", region).union(across.where("kind = 2").select("doc_id", region)).distinct(), "dense")
+    dense = scratch.write(near.where("kind = 2").select("node", region).union(across.where("kind = 2").select("node", region)).distinct(), "dense")
     scratch.drop("near")
 
-    ends = dense.select("doc_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = scratch.write(body.join(ends.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    ends = dense.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = classes.join(ends, "node").select("node", F.col("doc_id").alias("of_doc_id"), F.col("key").alias("of_key"))
+    texts = body.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("of_doc_id")) & (F.col("key") == F.col("of_key")))
+    texts = scratch.write(texts.dropDuplicates(["of_doc_id", "of_key"]).select("node", "text"), "texts")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:
-        of = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
+        of = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
         both = some.select("a", "b").join(of("a"), "a").join(of("b"), "b")
         return scratch.write(both.mapInArrow(giving_back(_confirm(words, percent)), "a long, b long"), name)
 
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
-    links = confirmed(best, "links-1")
-    found = connected_components(links, scratch, "first")
-    tree_of = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"tree_{k}"))
-    apart = pairs.join(best, ["a", "b"], "left_anti").join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left")
-    apart = apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b"))
-    more = confirmed(apart, "links-2")
-    if more.limit(1).count():
-        links = links.union(more)
-        found = connected_components(links, scratch, "second")
-    last = _straggler_links(dense, found, texts, scratch, words, percent)
-    if last is not None and last.limit(1).count():
-        found = connected_components(links.union(last), scratch, "third")
-    scratch.drop("texts", "pairs")
-
-    member = sketched.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    out = member.join(found, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    def settled(links: DataFrame, found: DataFrame | None, some: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """links and components with what some pairs add: each node's most alike partner first, then pairs still apart."""
+        best = some.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
+        for k, step in enumerate((lambda: best, lambda: some.join(best, ["a", "b"], "left_anti"))):
+            rest = step()
+            if found is not None:
+                tree_of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"tree_{c}"))  # noqa: E731, B023
+                rest = rest.join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left").where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b"))
+            more = confirmed(rest, f"links-{name}-{k}")
+            if found is None or not more.isEmpty():
+                links = links.union(more)
+                found = connected_components(links, scratch, f"{name}-{k}")
+        return links, found
+
+    links = scratch.write(_repeated_ids(usable, classes.select("digest", "node")), "repeated")
+    links, found = settled(links, None, pairs, "forest")
+    left = _left_over(dense, found, texts, scratch, words, percent)
+    if left is not None:
+        links, found = settled(links, found, scored(left, "left-pairs"), "left")
+
+    least = found.join(classes.select("node", F.col("doc_id").alias("rep")), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    final = classes.select("digest", "node", F.col("doc_id").alias("rep")).join(found, "node", "left").join(least, "component", "left")
+    final = final.select("digest", F.coalesce("least", "rep").alias("component"))
+    out = sketched.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return scratch.result(out)

@@ -55,13 +55,50 @@ def test_groups_equal_brute_force(groups):
     assert components(got) == want
 
 
+def test_one_id_with_unlike_texts(spark):
+    """Each of its texts has its links, and all rows of the id are one component; repeated rows change nothing."""
+    one, two = cases.prose(150, 61), cases.prose(150, 62)
+    rows = [(5, one), (5, two), (5, two), (6, one + " x"), (7, two + " y"), (8, cases.prose(150, 63)), (None, one)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+
+
+def boilerplate(spark, n, common, own):
+    shared = cases.prose(common, 71)
+    rows = [(k, f"{shared} " + " ".join(f"own{k}x{j}" for j in range(own + k % 7))) for k in range(n)]
+    # Some have a second version, which the forest may lose among the others.
+    rows += [(n + k, rows[k][1] + " end") for k in range(0, n, 10)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+
+
+@pytest.mark.parametrize(("common", "own"), [(120, 36), (130, 26), (136, 20), (140, 14)])
+def test_boilerplate_equals_brute_force(spark, common, own):
+    """Documents around a common passage, at similarities on both sides of the limit."""
+    rows, df = boilerplate(spark, 300, common, own)
+    assert components(near_dedup.near_duplicates(df, words=4).collect()) == brute.near_components(rows, 4)[0]
+
+
+def test_boilerplate_makes_no_pairs(spark):
+    """Thousands of documents that share only a passage: the exact join of their region compares versions with one another alone."""
+    from pyspark.sql import functions as F
+
+    rows, df = boilerplate(spark, 3000, 120, 36)
+    texts = df.select(F.col("doc_id").alias("node"), "text")
+    dense = texts.select("node", F.lit(1).cast("long").alias("region"))
+    none = spark.createDataFrame([], "node long, component long")
+    scratch = Scratch(spark, "t")
+    got = {(r["a"], r["b"]) for r in near_dedup._left_over(dense, none, texts, scratch, 4, 80).collect()}
+    assert {(k, 3000 + k) for k in range(0, 3000, 10)} <= got
+    assert len(got) < 2 * len(rows)
+
+
 def test_candidates_stay_linear(spark, groups):
     """No all-pairs: a region of n rows gives fewer than REGION candidates for each row."""
     _, df = groups
     n = df.count()
-    sketched = df.mapInArrow(near_dedup._sketcher(4), "doc_id long, n_shingles long, digest binary, sketch binary")
-    orders = sketched.mapInArrow(near_dedup._ordered, "tree int, k1 long, k2 long, doc_id long").repartition(1).sortWithinPartitions("tree", "k1", "k2", "doc_id")
-    pairs = orders.mapInArrow(near_dedup._neighbours(False), "kind int, a long, b long, tree int, k1 long, k2 long, doc_id long")
+    sketched = df.selectExpr("doc_id", "text", "doc_id as key").mapInArrow(near_dedup._sketcher(4), "doc_id long, key long, n_shingles long, digest binary, sketch binary")
+    orders = sketched.withColumnRenamed("doc_id", "node").mapInArrow(near_dedup._ordered, "tree int, k1 long, k2 long, node long").repartition(1).sortWithinPartitions("tree", "k1", "k2", "node")
+    pairs = orders.mapInArrow(near_dedup._neighbours(False), "kind int, a long, b long, tree int, k1 long, k2 long, node long")
     assert 0 < pairs.count() < near_dedup.ORDERS * near_dedup.REGION * n
 
 
