@@ -59,13 +59,39 @@ def _step(kind: str):
     return lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), _valid(kind, m).alias("ok"))
 
 
-def _add(number: int):
-    def add(a, x):
-        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["n"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+#: Values that one pass of a running total takes. Spark has no running total for arrays, and one that
+#: appends to its result copies that each time; in blocks of blocks the copies stay few for any length.
+BLOCK = 128
 
-    return add
+
+def running(values: Column, add, zero: Column) -> Column:
+    """The running total (by add) of an array column that has been made already, each value included."""
+
+    def one(part, start):
+        step = lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(add(a["at"], x))).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+    parts = F.transform(F.sequence(F.lit(0), F.expr("0") + F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+    whole = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: add(a, x)))
+    before = F.slice(F.concat(F.array(zero), one(whole, zero)), F.lit(1), F.size(parts))
+    return F.when(F.size(values) <= BLOCK, one(values, zero)).otherwise(F.flatten(F.zip_with(parts, before, one)))
+
+
+def total(values: Column) -> Column:
+    return running(values, lambda a, x: a + x, F.lit(0))
+
+
+def below(marks: str, places: str) -> Column:
+    """For each of the places, how many of the marks (both columns of numbers, made already) are smaller, by one sort of both."""
+    last = F.lit(2**31 - 1)
+    mixed = F.sort_array(F.concat(F.transform(places, lambda x, k: F.struct(x.alias("at"), k.alias("k"))), F.transform(marks, lambda x: F.struct(x.alias("at"), last.alias("k")))))
+    found = F.filter(F.transform(mixed, lambda m, i: F.struct(m["k"].alias("k"), i.alias("n"))), lambda m: m["k"] < last)
+    return F.transform(F.sort_array(F.transform(found, lambda m, j: F.struct(m["k"].alias("k"), (m["n"] - j).alias("n")))), lambda m: m["n"])
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """df with all columns made before any is used: expressions above can look into arrays without making them anew."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__x")).select("__x.*")
 
 
 def with_base(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -86,47 +112,18 @@ def with_base(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     # Arrays are zipped, not looked up from inside a lambda, where Spark could make them anew for each element.
     spans = [F.when(F.size(f"m_{kind}") > 0, F.zip_with(f"m_{kind}", F.slice(f"g_{kind}", F.lit(1), F.size(f"m_{kind}")), _step(kind))).alias(f"s_{kind}") for kind in KINDS]
     df = df.select(*cols, text, *spans)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    placed = [F.when(F.col(f"s_{kind}").isNotNull(), F.aggregate(f"s_{kind}", start, _add(number))["out"]).otherwise(F.array().cast(SPANS)) for number, kind in enumerate(KINDS)]
-    return df.select(*cols, text, F.sort_array(F.concat(*placed)).alias("base"))
+    sizes = [F.transform(f"s_{kind}", lambda x: x["gap"] + x["n"]).alias(f"l_{kind}") for kind in KINDS]
+    df = df.select(*cols, text, *[f"s_{kind}" for kind in KINDS], *sizes)
+    df = df.select(*cols, text, *[f"s_{kind}" for kind in KINDS], *[total(F.col(f"l_{kind}")).alias(f"e_{kind}") for kind in KINDS])
 
+    def place(number):
+        return lambda x, end: F.when(x["ok"], F.struct((end - x["n"]).alias("start"), F.lit(number).alias("kind"), end.alias("end")))
 
-#: with_slots: words of at least LEAST_DIGITS digits, after the two words of their context. find_pii takes no
-#: part in this bound; its token groups come from occurrences().
-LEAST_DIGITS = 5
-BLANK, WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
-#: A word before one that has a digit. The second is only looked at, so it can be the next match's first.
-BEFORE = rf"(?<!{WORD})({WORD}++)(?=({BLANK}++)((?:(?![0-9]){WORD})*+[0-9]{WORD}*+))"
-#: What a slot's word consists of without quotes and punctuation around it.
-CORE = "[A-Za-z0-9](?:[A-Za-z0-9._@+:/-]*[A-Za-z0-9])?"
-MARK = "␂ ␂ "  # stands for the two words before a text's first
+    placed = [F.coalesce(F.array_compact(F.zip_with(f"s_{kind}", f"e_{kind}", place(number))), F.array().cast(SPANS)) for number, kind in enumerate(KINDS)]
+    return df.select(*cols, text, F.sort_array(F.concat(*placed)).alias("base"))
 
 
-def with_slots(df: DataFrame, text: str) -> DataFrame:
-    """Adds slots, an array of (context, core, start, end), to df; texts without digits have none."""
-    others = [F.col(f"`{c}`") for c in df.columns]
-    x = F.when(F.col(text).rlike("[0-9]"), F.concat(F.lit(MARK), F.col(text)))
-    left, gaps = _placed(x, BEFORE, 1)
-    part = lambda k: F.regexp_extract_all(x, F.lit(BEFORE), F.lit(k))
-    df = df.select(*others, left.alias("__left"), part(2).alias("__blank"), part(3).alias("__word"), gaps.alias("__gap"))
-    zipped = F.arrays_zip(F.col("__left").alias("left"), F.col("__blank").alias("blank"), F.col("__word").alias("word"), F.col("__gap").alias("gap"), F.concat(F.array(F.lit("")), "__left").alias("earlier"))
-    df = df.select(*others, F.filter(zipped, lambda z: z["left"].isNotNull()).alias("__m"))
-    before = lambda a, z: a["at"] + F.length(z["gap"]) + F.length(z["left"])
-    step = lambda a, z: F.struct(before(a, z).alias("at"), F.concat(a["out"], F.array(before(a, z) + F.length(z["blank"]))).alias("out"))
-    at = F.aggregate("__m", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
-    slots = F.zip_with("__m", at, _slot)
-    slots = F.filter(slots, lambda s: F.length(F.regexp_replace(s["core"], "[^0-9]", "")) >= LEAST_DIGITS)
-    return df.select(*others, F.when(F.size("__m") > 0, slots).alias("slots"))
-
-
-def _slot(z: Column, at: Column) -> Column:
-    # The word before the left one ends the gap, unless that gap is only the blank between two slots.
-    own = F.regexp_extract(z["gap"], rf"({WORD}++){BLANK}*+$", 1)
-    second = F.when(own != "", own).otherwise(F.coalesce(z["earlier"], F.lit("")))
-    plain = lambda w: F.regexp_replace(F.lower(w), "[0-9]+", "9")
-    core = F.regexp_extract(z["word"], CORE, 0)
-    start = at - len(MARK) + F.position(core, z["word"]) - 1
-    return F.struct(F.concat_ws(" ", plain(second), plain(z["left"])).alias("context"), core.alias("core"), start.cast("int").alias("start"), (start + F.length(core)).cast("int").alias("end"))
+BLANK, WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
 
 
 #: Rounds of scoring; share of a pattern's weight that must be known; distinct known identifiers it needs.
@@ -172,7 +169,8 @@ START, END = "\u2402", "\u2403"  # stand for words before a text's first and aft
 SPELLED = rf"(?i)^{WORD}++{BLANK}++[(\[]?at[)\]]?{BLANK}++{WORD}++(?:{BLANK}++[(\[]?dot[)\]]?{BLANK}++{WORD}++)++"
 INNER = r"[\p{L}\p{N}][^\p{L}\p{N}\x20\x09-\x0D'\u2019]++[\p{L}\p{N}]"
 #: What doesn't belong to an identifier at a group's beginning and end; a bracket does if it is closed before the end.
-LEAD, TRAIL = r"^(?:[^\p{L}\p{N}+(@]|\((?=[^)]*+\)?[^\p{L}\p{N})]*+$))++", r"[^\p{L}\p{N}]+$"
+LEAD = r"^[^\p{L}\p{N}+(@]*+(?:\(++(?=[^)]*+\)?[^\p{L}\p{N})]*+$))?+[^\p{L}\p{N}+(@]*+"
+TRAIL = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
 
 
 def _plain_words(text: Column) -> Column:
@@ -180,16 +178,40 @@ def _plain_words(text: Column) -> Column:
     return F.split(F.btrim(F.regexp_replace(F.lower(text), "[0-9]+", "9"), F.lit(" \t\n\x0b\x0c\r")), f"{BLANK}+")
 
 
-def _seed(text: Column, words: Column):
-    """A base span's context (the two words before the one it begins in), the word after it, and itself."""
-    whole = lambda end: F.regexp_count(F.substr(text, F.lit(1), end), F.lit(f"{WORD}++{BLANK}")).cast("int")
+def with_seeds(based: DataFrame, text: str) -> DataFrame:
+    """Adds seeds to rows with text and base: each base span's kind, context (the two words before the one it begins in), the word after it, and itself.
+
+    The word that a place lies in is found by sorting the places among the words' starts. Texts without base spans have none.
+    """
+    others = [F.col(f"`{c}`") for c in based.columns]
+    x = F.when(F.size("base") > 0, F.col(text))
+    df = _with_starts(based.select(*others, *_taken_apart(x)))
+
+    places = F.transform("base", lambda s: s["start"] + 1), F.transform("base", lambda s: s["end"])
+    df = fenced(df.select(*others, "__w", "__pieces", "__at", *[p.alias(n) for p, n in zip(places, ("__p", "__q"), strict=True)]))
+    df = fenced(df.select(*others, "__w", "__pieces", "__at", below("__at", "__p").alias("__p"), below("__at", "__q").alias("__q")))
+
+    def seed(z):
+        p, q, s = z["p"] - 1, z["q"] - 1, z["s"]
+        context = F.concat_ws(" ", F.coalesce(F.get("__w", p - 2), F.lit(START)), F.coalesce(F.get("__w", p - 1), F.lit(START)))
+        core = F.substr(F.array_join(F.slice("__pieces", p + 1, q - p + 1), ""), s["start"] - F.get("__at", p) + 1, s["end"] - s["start"])
+        return F.struct(s["kind"].alias("kind"), context.alias("context"), F.coalesce(F.get("__w", q + 1), F.lit(END)).alias("right"), core.alias("core"))
+
+    zipped = F.arrays_zip(F.col("base").alias("s"), F.col("__p").alias("p"), F.col("__q").alias("q"))
+    return df.select(*others, F.when(F.size("base") > 0, F.transform(zipped, seed)).alias("__seeds"))
+
+
+def _taken_apart(text: Column) -> list[Column]:
+    """A text's blank beginning's length, plain words, and words with the blanks after them."""
+    return [F.length(F.regexp_extract(text, f"^{BLANK}*+", 0)).alias("__lead"), _plain_words(text).alias("__w"), F.regexp_extract_all(text, F.lit(f"{WORD}++{BLANK}*+"), F.lit(0)).alias("__pieces")]
 
-    def seed(s):
-        p, q = whole(s["start"]), whole(s["end"])
-        context = F.concat_ws(" ", F.coalesce(F.get(words, p - 2), F.lit(START)), F.coalesce(F.get(words, p - 1), F.lit(START)))
-        return F.struct(s["kind"].alias("kind"), context.alias("context"), F.coalesce(F.get(words, q + 1), F.lit(END)).alias("right"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("core"))
 
-    return seed
+def _with_starts(df: DataFrame) -> DataFrame:
+    """Adds __at, where each of the words begins, to columns that _taken_apart made."""
+    df = fenced(df.withColumn("__sizes", F.transform("__pieces", lambda x: F.length(x))))
+    df = fenced(df.withColumn("__ends", F.concat(F.array(F.col("__lead")), total(F.col("__sizes")))).drop("__sizes"))
+    starts = F.transform(F.slice("__ends", F.lit(1), F.size("__pieces")), lambda x, k: F.when(k == 0, x).otherwise(x + F.col("__lead")))
+    return fenced(df.withColumn("__at", starts).drop("__ends", "__lead"))
 
 
 def seeded_contexts(seeds: DataFrame) -> DataFrame:
@@ -211,18 +233,19 @@ def places(texts: DataFrame) -> DataFrame:
     """(__row, p, context) of every word of texts(__row, __t), the p-th from 0, with the two words before it."""
     words = texts.select("__row", _plain_words(F.col("__t")).alias("w"))
     back = lambda k: F.concat(F.array_repeat(F.lit(START), k), F.col("w"))
-    pairs = words.select("__row", F.posexplode(F.arrays_zip(back(2).alias("a"), back(1).alias("b"), F.col("w").alias("c"))).alias("p", "x")).where("x.c is not null")
+    pairs = words.select("__row", F.posexplode(F.arrays_zip(back(2).alias("a"), back(1).alias("b"), F.col("w").alias("c"))).alias("p", "x")).where("x.c <> ''")
     return pairs.select("__row", "p", F.concat_ws(" ", "x.a", "x.b").alias("context"))
 
 
 def frequent_seeds(texts: DataFrame, contexts: DataFrame, *, max_contexts: int = 500_000) -> DataFrame:
     """The contexts of which LEAST_SHARE of the places in all texts are known, so not just any two common words.
 
-    Pairs of words are counted (by hash) before they meet the contexts: common pairs have many places.
+    Pairs of words are counted by hash, and only those that are contexts (broadcast where there are no more than
+    max_contexts), each task's together before they move: common pairs have many places.
     """
-    counts = places(texts).groupBy(F.xxhash64("context").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     keyed = contexts.withColumn("of", F.xxhash64("context"))
-    return counts.join(broadcast_if_small(keyed, max_contexts), F.col("h") == F.col("of")).where(F.col("known") >= LEAST_SHARE * F.col("n")).select(*contexts.columns)
+    counts = places(texts).select(F.xxhash64("context").alias("h")).join(broadcast_if_small(keyed.select("of"), max_contexts), F.col("h") == F.col("of"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(keyed, F.col("h") == F.col("of")).where(F.col("known") >= LEAST_SHARE * F.col("n")).select(*contexts.columns)
 
 
 def occurrences(texts: DataFrame, contexts: DataFrame, scratch: Scratch, *, max_contexts: int = 500_000, max_rows: int = 20_000) -> DataFrame:
@@ -236,22 +259,30 @@ def occurrences(texts: DataFrame, contexts: DataFrame, scratch: Scratch, *, max_
     hits = places(texts).join(broadcast_if_small(contexts, max_contexts), "context")
     rows = scratch.write(hits.groupBy("__row").agg(F.collect_list(F.struct("p", "context", "rights")).alias("hits")), "hits")
     df = texts.join(broadcast_if_small(rows, max_rows), "__row")
-    df = df.select("__row", "base", "hits", F.length(F.regexp_extract("__t", f"^{BLANK}*+", 0)).alias("lead"), _plain_words(F.col("__t")).alias("w"), F.regexp_extract_all("__t", F.lit(f"{WORD}++{BLANK}*+"), F.lit(0)).alias("pieces"))
+    df = _with_starts(df.select("__row", "base", "hits", *_taken_apart(F.col("__t"))))
 
     def near(h):
-        start = F.col("lead") + F.length(F.array_join(F.slice("pieces", F.lit(1), h["p"]), ""))
-        own = F.slice("pieces", h["p"] + 1, F.lit(MOST_WORDS))
-        return F.struct(h["context"].alias("context"), h["rights"].alias("rights"), start.alias("at"), own.alias("own"), F.concat(F.slice("w", h["p"] + 1, F.lit(MOST_WORDS + 1)), F.array(F.lit(END))).alias("plain"))
-
-    df = df.select("__row", "base", F.transform("hits", near).alias("hits"))
-    close = lambda h: F.filter("base", lambda b: (b["end"] > h["at"]) & (b["start"] < h["at"] + F.length(F.array_join(h["own"], ""))))
-    df = df.select("__row", F.explode(F.transform("hits", lambda h: F.struct(h.alias("h"), close(h).alias("base")))).alias("x")).select("__row", "x.h.*", "x.base")
+        own = F.slice("__pieces", h["p"] + 1, F.lit(MOST_WORDS))
+        return F.struct(h["context"].alias("context"), h["rights"].alias("rights"), F.get("__at", h["p"]).alias("at"), own.alias("own"), F.concat(F.slice("__w", h["p"] + 1, F.lit(MOST_WORDS + 1)), F.array(F.lit(END))).alias("plain"))
+
+    df = fenced(df.select("__row", "base", F.transform("hits", near).alias("hits")))
+    starts, ends = F.transform("base", lambda s: s["start"]), F.transform("base", lambda s: s["end"])
+    reach = F.transform("hits", lambda h: h["at"] + F.length(F.array_join(h["own"], "")))
+    df = fenced(df.select("__row", "base", "hits", starts.alias("starts"), ends.alias("ends"), F.transform("hits", lambda h: h["at"]).alias("at"), reach.alias("reach")))
+    past = F.concat(F.array(F.lit(-1)), running(F.col("ends"), F.greatest, F.lit(-1)))
+    df = fenced(df.select("__row", "base", "hits", past.alias("past"), below("starts", "at").alias("first"), below("starts", "reach").alias("last")))
+
+    def close(h, first, last):
+        """The base spans that begin among the hit's words, and whether an earlier one reaches into them."""
+        return F.struct(h.alias("h"), F.slice("base", first + 1, last - first).alias("base"), (F.get("past", first) > h["at"]).alias("before"))
+
+    zipped = F.transform(F.arrays_zip("hits", "first", "last"), lambda z: close(z["hits"], z["first"], z["last"]))
+    df = df.select("__row", F.explode(zipped).alias("x")).select("__row", "x.h.*", "x.base", "x.before")
     bare = lambda x: F.rtrim(x, F.lit(" \t\n\x0b\x0c\r"))
     first = F.length(bare(F.get("own", F.lit(0))))
     df = df.withColumns(
         {
-            "before": F.exists("base", lambda b: b["start"] < F.col("at")),
-            "seed": F.get(F.filter("base", lambda b: (b["start"] >= F.col("at")) & (b["start"] < F.col("at") + first)), F.lit(0)),
+            "seed": F.get(F.filter("base", lambda b: b["start"] < F.col("at") + first), F.lit(0)),
             "stop": F.array_position(F.transform("plain", lambda x, k: (k > 0) & F.array_contains("rights", x)), True).cast("int") - 1,
             "run": F.array_position(F.transform("own", lambda x, k: ~x.rlike("[0-9]") | ((k > 0) & F.coalesce(F.get("own", k - 1).rlike(f"[.,;:!?]{BLANK}*$"), F.lit(False)))), True).cast("int") - 1,
             "whole": F.array_join("own", ""),
@@ -289,10 +320,7 @@ def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
     body = only(docs, *keep, "text").toDF(*keep, "__t").withColumn("__t", F.coalesce("__t", F.lit("")))
     kept = [F.col(f"`{c}`") for c in keep]
     based = with_base(body, "__t", keep).withColumn("__row", F.monotonically_increasing_id())
-    words = F.when(F.size("base") > 0, _plain_words(F.col("__t")))
-    based = based.select(*kept, "__t", "base", "__row", words.alias("__w"))
-    based = based.select(*kept, "__t", "base", "__row", F.transform("base", _seed(F.col("__t"), F.col("__w"))).alias("__seeds"))
-    based = scratch.write(based, "base")
+    based = scratch.write(with_seeds(based, "__t"), "base")
     contexts = scratch.write(seeded_contexts(based.where(F.size("__seeds") > 0).select(F.inline("__seeds"))), "contexts")
     none = F.array().cast(SPANS)
     if not contexts.isEmpty():
@@ -318,16 +346,28 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in range(len(KINDS))], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
-def redact(text: Column, spans: str) -> Column:
-    """The text with each span (those that overlap taken together) replaced by its kind in brackets."""
+#: Characters of the pieces that redact cuts a text into: a substring far into a long text is slow to find.
+PIECE = 1024
+
+
+def redact(df: DataFrame, text: str, spans: str) -> DataFrame:
+    """df with each of the spans (those that overlap taken together) of the text replaced by its kind in brackets."""
+    others = [F.col(f"`{c}`") for c in df.columns]
+    some = F.size(spans) > 0
+    df = df.select(*others, F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("__cut"), F.when(some, F.transform(spans, lambda s: s["end"])).alias("__ends"))
+    df = fenced(df.select(*others, "__cut", F.when(some, F.concat(F.array(F.lit(0)), running(F.col("__ends"), F.greatest, F.lit(0)))).alias("__past")))
     name = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.get(name, s["kind"]))).otherwise(a["out"]).alias("out"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+
+    def between(start, end):
+        first = F.floor(start / PIECE).cast("int")
+        held = F.slice("__cut", first + 1, F.greatest(F.floor((end - 1) / PIECE).cast("int") - first + 1, F.lit(0)))
+        return F.substr(F.array_join(held, ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+    outer = F.filter(F.zip_with(spans, F.slice("__past", F.lit(1), F.size(spans)), lambda s, past: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), past.alias("past"))), lambda z: z["start"] >= z["past"])
+    done = F.transform(outer, lambda z: F.concat(between(z["past"], z["start"]), F.get(name, z["kind"])))
+    rest = between(F.element_at("__past", -1), F.length(text))
+    out = F.when(some, F.concat(F.array_join(done, ""), rest)).otherwise(F.col(text))
+    return df.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c not in ("__cut", "__past")])
 
 
 def redacted(docs: DataFrame, *, max_found: int = 100_000) -> DataFrame:
@@ -343,7 +383,7 @@ def redacted(docs: DataFrame, *, max_found: int = 100_000) -> DataFrame:
     joined = joined.withColumn("__t", F.coalesce("text", F.lit("")))
     based = with_base(joined, "__t", [*columns, "found"])
     spans = F.sort_array(F.concat("base", F.coalesce("found", F.array().cast(SPANS))))
-    out = based.withColumn("__spans", spans).withColumn("text", F.when(F.col("text").isNotNull() & (F.size("__spans") > 0), redact(F.col("__t"), "__spans")).otherwise(F.col("text")))
+    out = redact(based.withColumn("__spans", spans), "__t", "__spans").withColumn("text", F.when(F.col("text").isNotNull(), F.col("__t")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in columns])

@@ -103,6 +103,55 @@ def spans_text(spans):
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def redact(text, spans):
+    """The text with its spans, which are in order, replaced by their kinds; one that begins inside an earlier one goes with it."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for a, kind, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{KINDS[kind].upper()}]"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def pattern_scores(slots, rounds, least_score, least_seeds, doubt):
+    """{(context, kind): (score, seeds)} of slots (context, core, kind or None)."""
+    edges, kinds = Counter(), {}
+    for context, core, kind in slots:
+        edges[context, core] += 1
+        if kind is not None:
+            kinds[context, core] = max(kind, kinds.get((context, core), kind))
+    known = {}
+    for (_, core), kind in kinds.items():
+        known[core] = max(kind, known.get(core, kind))
+    totals = Counter()
+    for (context, _), n in edges.items():
+        totals[context] += n
+    instances = {core: (kind, 1.0) for core, kind in known.items() if core is not None}
+    for k in range(rounds):
+        hit, seeds = defaultdict(float), Counter()
+        for (context, core), n in edges.items():
+            if core in instances:
+                kind, weight = instances[core]
+                hit[context, kind] += n * weight
+                seeds[context, kind] += weight == 1.0
+        scores = {(c, kind): (x / (totals[c] + doubt), seeds[c, kind]) for (c, kind), x in hit.items()}
+        if k == rounds - 1:
+            return scores
+        left = defaultdict(lambda: 1.0)
+        for context, core in edges:
+            if core is None or (context, core) in kinds or core in known:
+                continue
+            for (c, kind), (score, n) in scores.items():
+                if c == context and score >= least_score and n >= least_seeds:
+                    left[core, kind] *= max(1 - score, 1e-9)
+        instances = {core: (kind, 1.0) for core, kind in known.items() if core is not None}
+        for core in {core for core, _ in left}:
+            weight, kind = max((1 - x, kind) for (c, kind), x in left.items() if c == core)
+            instances[core] = (kind, min(weight, 0.999))
+
+
 def bench_words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text or ""))
 
