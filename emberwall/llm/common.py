@@ -100,6 +100,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Rows of one key up to which join_counted leaves them to one task, and most keys that it broadcasts.
+FEW_ROWS, MOST_KEYS = 1_000, 100_000
+
+
+def join_counted(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """df left-joined with dim(key, n, ...), a written table with a row for each key and n, the rows of df that have it.
+
+    Keys with the most rows go by broadcast, so that none lands in one task: those with over FEW_ROWS rows and over a
+    MOST_KEYS-th of all rows, hence fewer than MOST_KEYS keys. The rest are joined by shuffle. n is dropped.
+    """
+    most = max(FEW_ROWS, (dim.agg(F.sum("n")).first()[0] or 0) // MOST_KEYS)
+    often = dim.where(F.col("n") > most)
+    if often.isEmpty():
+        return df.join(dim, key, "left").drop("n")
+    rest = df.join(F.broadcast(often.select(key)), key, "left_anti").join(dim.where(F.col("n") <= most), key, "left")
+    return df.join(F.broadcast(often), key).unionByName(rest).drop("n")
+
+
 def text_views(column) -> list[memoryview]:
     """UTF-8 bytes of each value of an Arrow string column, without copies; null is empty."""
     import pyarrow as pa

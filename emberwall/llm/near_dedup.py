@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, giving_back, only, text_views
+from .common import Scratch, giving_back, join_counted, only, text_views
 from .components import connected_components
 from .encoding import grouped
 from .shingles import shingle_sets, similar, sketches
@@ -245,16 +245,15 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     component are compared with the others, in blocks. The table of frequent shingles that is broadcast has at most FREQUENT rows.
     """
     labelled = dense.join(found, "node", "left").select("node", "region", F.coalesce("component", "node").alias("component"))
-    labelled = scratch.write(labelled, "dense-components")
-    mixed = labelled.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.count(F.lit(1)).alias("components")).where("components > 1")
-    meeting = labelled.join(mixed.select("region"), "region", "left_semi").select("node", "component").distinct()
+    mixed = labelled.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest")
+    meeting = scratch.write(labelled.join(mixed.select("region"), "region", "left_semi").groupBy("node").agg(F.first("component").alias("component")), "meeting")
+    if meeting.isEmpty():
+        return None
     sets = texts.join(meeting.select("node"), "node", "left_semi").mapInArrow(giving_back(_sets(words)), "node long, shingles array<long>")
     sets = scratch.write(sets, "sets")
     counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.write(counts.where(F.col("n") > LONG_LIST), "counts")
     most = max(LONG_LIST, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)  # fewer than FREQUENT shingles stand more often
-    if sets.isEmpty():
-        return None
     table = counts.where(F.col("n") > most).toPandas()
     keys = table["shingle"].to_numpy(np.int64)
     ranks = np.empty(len(keys), np.int64)
@@ -284,7 +283,7 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     pairs = pairs.union(one.alias("x").join(other.alias("y"), at & fits).select(*pair))
     pairs = scratch.write(pairs.distinct(), "left-over")
     shared.unpersist()
-    scratch.drop("sets", "counts", "prefixes", "short-lists", "long-lists", "dense-components")
+    scratch.drop("sets", "counts", "prefixes", "short-lists", "long-lists", "meeting")
     return pairs
 
 
@@ -323,8 +322,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     body = only(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
     sketched = scratch.write(body.mapInArrow(giving_back(_sketcher(words)), "doc_id long, key long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("rep"))
-    classes = scratch.write(classes.select("digest", F.monotonically_increasing_id().alias("node"), "rep.doc_id", "rep.key"), "classes")
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.write(classes.select("digest", F.monotonically_increasing_id().alias("node"), "rep.doc_id", "rep.key", "n"), "classes")
     of = classes.select("node", *[F.col(c).alias(f"of_{c}") for c in ("doc_id", "key", "digest")]).hint("shuffle_hash")
     reps = usable.join(of, (F.col("doc_id") == F.col("of_doc_id")) & (F.col("digest") == F.col("of_digest")) & (F.col("key") == F.col("of_key")))
     reps = scratch.write(reps.dropDuplicates(["of_doc_id", "of_digest", "of_key"]).select("node", "sketch"), "reps")
@@ -359,30 +358,28 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         both = some.select("a", "b").join(of("a"), "a").join(of("b"), "b")
         return scratch.write(both.mapInArrow(giving_back(_confirm(words, percent)), "a long, b long"), name)
 
-    def settled(links: DataFrame, found: DataFrame | None, some: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """links and components with what some pairs add: each node's most alike partner first, then pairs still apart."""
-        best = some.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
-        for k, step in enumerate((lambda: best, lambda: some.join(best, ["a", "b"], "left_anti"))):
-            rest = step()
-            if found is not None:
-                tree_of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"tree_{c}"))  # noqa: E731, B023
-                rest = rest.join(tree_of("a"), "a", "left").join(tree_of("b"), "b", "left").where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b"))
-            more = confirmed(rest, f"links-{name}-{k}")
-            if found is None or not more.isEmpty():
-                links = links.union(more)
-                found = connected_components(links, scratch, f"{name}-{k}")
-        return links, found
+    def tree_of(k: str, found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias(k), F.col("component").alias(f"tree_{k}"))
 
     links = scratch.write(_repeated_ids(usable, classes.select("digest", "node")), "repeated")
-    links, found = settled(links, None, pairs, "forest")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
+    links = links.union(confirmed(best, "links-1"))
+    found = connected_components(links, scratch, "first")
+    apart = pairs.join(best, ["a", "b"], "left_anti").join(tree_of("a", found), "a", "left").join(tree_of("b", found), "b", "left")
+    more = confirmed(apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")), "links-2")
+    if not more.isEmpty():
+        links = links.union(more)
+        found = connected_components(links, scratch, "second")
     left = _left_over(dense, found, texts, scratch, words, percent)
-    if left is not None:
-        links, found = settled(links, found, scored(left, "left-pairs"), "left")
-
-    least = found.join(classes.select("node", F.col("doc_id").alias("rep")), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    final = classes.select("digest", "node", F.col("doc_id").alias("rep")).join(found, "node", "left").join(least, "component", "left")
-    final = final.select("digest", F.coalesce("least", "rep").alias("component"))
-    out = sketched.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
+    last = confirmed(scored(left, "left-pairs"), "links-3") if left is not None else None
+    if last is not None and not last.isEmpty():
+        found = connected_components(links.union(last), scratch, "third")
+
+    own = classes.select("digest", "node", F.col("doc_id").alias("rep"), F.col("n").alias("rows")).join(found, "node", "left")
+    own = scratch.write(own, "own")
+    least = scratch.write(own.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    final = join_counted(own, least, "component").select("digest", F.coalesce("least", "rep").alias("component"), F.col("rows").alias("n"))
+    out = join_counted(sketched.select("doc_id", "n_shingles", "digest"), scratch.write(final, "final"), "digest")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return scratch.result(out)

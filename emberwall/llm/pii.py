@@ -237,15 +237,25 @@ def places(texts: DataFrame) -> DataFrame:
     return pairs.select("__row", "p", F.concat_ws(" ", "x.a", "x.b").alias("context"))
 
 
-def frequent_seeds(texts: DataFrame, contexts: DataFrame, *, max_contexts: int = 500_000) -> DataFrame:
-    """The contexts of which LEAST_SHARE of the places in all texts are known, so not just any two common words.
+def rare_enough(contexts: DataFrame, counts: DataFrame) -> DataFrame:
+    """The contexts without those that stand in so many places (counts of h) that less than LEAST_SHARE of them are known."""
+    keyed = contexts.withColumn("of", F.xxhash64("context"))
+    counted = keyed.join(counts, F.col("h") == F.col("of"), "left")
+    return counted.where(F.col("known") >= LEAST_SHARE * F.coalesce("n", F.lit(0))).select(*contexts.columns)
+
 
-    Pairs of words are counted by hash, and only those that are contexts (broadcast where there are no more than
-    max_contexts), each task's together before they move: common pairs have many places.
+def frequent_seeds(texts: DataFrame, contexts: DataFrame, scratch: Scratch, *, max_contexts: int = 500_000) -> DataFrame:
+    """The contexts of which LEAST_SHARE of the places in all texts(__row, __t, base) are known, so not just any two common words.
+
+    Pairs of words are counted by hash. All pairs in texts that hold base spans come first: a context that stands in too many
+    places there does so in all texts. Then only pairs that still are contexts (broadcast where there are no more than
+    max_contexts) are counted in all texts, each task's together before they move.
     """
-    keyed = contexts.withColumn("of", F.xxhash64("context"))
-    counts = places(texts).select(F.xxhash64("context").alias("h")).join(broadcast_if_small(keyed.select("of"), max_contexts), F.col("h") == F.col("of"), "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(keyed, F.col("h") == F.col("of")).where(F.col("known") >= LEAST_SHARE * F.col("n")).select(*contexts.columns)
+    hashes = lambda some: places(some).select(F.xxhash64("context").alias("h"))
+    count = lambda some: some.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    left = scratch.write(rare_enough(contexts, count(hashes(texts.where(F.size("base") > 0)))), "rare")
+    wanted = broadcast_if_small(left.select(F.xxhash64("context").alias("of")), max_contexts)
+    return rare_enough(left, count(hashes(texts).join(wanted, F.col("h") == F.col("of"), "left_semi")))
 
 
 def occurrences(texts: DataFrame, contexts: DataFrame, scratch: Scratch, *, max_contexts: int = 500_000, max_rows: int = 20_000) -> DataFrame:
@@ -324,7 +334,7 @@ def find_pii(docs: DataFrame, keep: list[str]) -> DataFrame:
     contexts = scratch.write(seeded_contexts(based.where(F.size("__seeds") > 0).select(F.inline("__seeds"))), "contexts")
     none = F.array().cast(SPANS)
     if not contexts.isEmpty():
-        contexts = scratch.write(frequent_seeds(based.select("__row", "__t"), contexts), "frequent")
+        contexts = scratch.write(frequent_seeds(based.select("__row", "__t", "base"), contexts, scratch), "frequent")
     if contexts.isEmpty():
         return based.select(*kept, "base", none.alias("found"), F.col("base").alias("spans"))
     slots = scratch.write(occurrences(based.select("__row", "__t", "base"), contexts, scratch), "slots")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import Scratch, giving_back, only, text_views
+from .common import Scratch, giving_back, join_counted, only, text_views
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -23,14 +23,20 @@ def _counter(path: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int = 1024) -> DataFrame:
+#: Rows up to which the documents to encode, or those to pass over, are broadcast as keys of 16 bytes.
+MOST_KEYS = 1_000_000
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int = 1024, most_keys: int = MOST_KEYS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs(doc_id, text).
 
     A text is normalised to itself, null to the empty text, since any other change could change
     its count. Its SHA-256 and the tokenizer's digest (file and library version) form the key.
-    Keys are aggregated to one carrier row before any text moves; carriers that the cache lacks are
-    encoded, their counts appended to cache_dir, and all rows then joined to the cache. Rows
-    that repeat share one encoding; each keeps its own result row. An empty table gives an
+    Only keys are joined to the cache, each digest once. Of the digests that it lacks, one carrier row each is encoded,
+    and the counts are appended to cache_dir. Texts stay where they are read if the carriers are few, as with a
+    warm cache, or the other rows are, as with few repeats: the few's keys are broadcast. Else
+    carriers are found by a shuffle. Then all rows are joined to the counts, digests of very many rows by broadcast.
+    Rows that repeat share one encoding; each keeps its own result row. An empty table gives an
     empty result; null doc_ids stay null.
     """
     spark = docs.sparkSession
@@ -41,15 +47,27 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int
     keys = scratch.write(body.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(stored)
-    cached = spark.read.schema(CACHE_SCHEMA).parquet(stored)
-    carriers = keys.groupBy("digest").agg(F.min("doc_id").alias("carrier")).join(cached.select("digest"), "digest", "left_anti")
-    misses = body.alias("b").join(
-        carriers.alias("c").hint("shuffle_hash"),
-        (F.col("b.digest") == F.col("c.digest")) & F.col("b.doc_id").eqNullSafe(F.col("c.carrier")),
-        "left_semi",
-    )
-    # Rows that repeat the carrier itself are encoded with it, and stored once.
-    misses.select("digest", "text").mapInArrow(giving_back(_counter(tokenizer)), CACHE_SCHEMA).dropDuplicates(["digest"]).write.mode("append").parquet(stored)
-
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(stored).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    cached = spark.read.schema(CACHE_SCHEMA).parquet(stored).dropDuplicates(["digest"])
+    digests = keys.groupBy("digest").agg(F.min("doc_id").alias("carrier"), F.count(F.lit(1)).alias("n"))
+    digests = scratch.write(digests.join(cached, "digest", "left"), "digests")
+    misses, rows = digests.where("n_tokens is null").agg(F.count(F.lit(1)), F.sum("n")).first()
+    if misses:
+        missing = digests.where("n_tokens is null").select(F.col("digest").alias("of"), "carrier")
+        same = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("carrier"))
+        total = keys.count()
+        if misses <= most_keys:
+            todo = body.join(F.broadcast(missing), same, "left_semi")
+        elif total - misses <= most_keys:
+            # Nearly all rows are carriers: the others are passed over.
+            others = keys.join(missing, same, "left_anti").select(F.xxhash64("doc_id", "digest").alias("other")).distinct()
+            todo = body.withColumn("own", F.xxhash64("doc_id", "digest")).join(F.broadcast(others), F.col("own") == F.col("other"), "left_anti")
+        else:
+            todo = body.join(missing.hint("shuffle_hash"), same, "left_semi")
+        # Rows that repeat the carrier itself are encoded with it, and stored once.
+        new = todo.select("digest", "text").mapInArrow(giving_back(_counter(tokenizer)), CACHE_SCHEMA).dropDuplicates(["digest"])
+        new = scratch.write(new, "new")
+        new.write.mode("append").parquet(stored)
+        counts = digests.withColumnRenamed("n_tokens", "known").join(new, "digest", "left").select("digest", F.coalesce("known", "n_tokens").alias("n_tokens"), "n")
+        digests = scratch.write(counts, "counts")
+    out = join_counted(keys, digests.select("digest", "n_tokens", "n"), "digest")
+    return scratch.result(out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))

@@ -1,8 +1,10 @@
 import random
 import zlib
 from array import array
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberwall.llm import encoding, packing, token_counts, token_store
 from emberwall.llm.common import Scratch
@@ -168,3 +170,37 @@ def test_pack(docs, no_docs, library, pool):
             at += n
         assert at == 4096 or at & (at - 1) == 0
     assert packing.pack(no_docs, WORD).collect() == []
+
+
+@pytest.mark.parametrize("most_keys", [1_000_000, 3, 0])
+def test_cached_counts_are_not_made_again(spark, docs, library, tmp_path, most_keys):
+    """A stored count, here a wrong one, is taken as it is; only texts without one are encoded, however they are found."""
+    from emberwall.llm import encoding, token_counts
+
+    rows = [(k, f"text number {k % 7}") for k in range(30)] + [(None, "text number 1"), (40, None), (40, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = df.where("doc_id % 7 < 3")
+    cache = f"file://{tmp_path}/cache"
+    token_counts.count_tokens(first, BYTE, cache, most_keys=most_keys).collect()
+    stored = f"{cache}/{encoding.tokenizer_digest(BYTE)}"
+    wrong = spark.read.parquet(stored).withColumn("n_tokens", F.lit(999).cast("long")).collect()
+    spark.createDataFrame(wrong, token_counts.CACHE_SCHEMA).write.mode("overwrite").parquet(stored)
+    got = token_counts.count_tokens(df, BYTE, cache, most_keys=most_keys).collect()
+    known = {f"text number {k}" for k in range(3)}
+    want = Counter((d, 999 if t in known else len(ids(library, BYTE, t or ""))) for d, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == want
+    kept = spark.read.parquet(stored)
+    assert kept.count() == kept.select("digest").distinct().count() == 8
+    # All is stored now: nothing is encoded or appended.
+    token_counts.count_tokens(df, BYTE, cache, most_keys=most_keys).collect()
+    assert spark.read.parquet(stored).count() == 8
+
+
+def test_digests_of_many_rows(spark, library, tmp_path, monkeypatch):
+    """Keys with the most rows are joined by broadcast, the rest by shuffle; no row is lost or doubled."""
+    from emberwall.llm import common, token_counts
+
+    monkeypatch.setattr(common, "FEW_ROWS", 5)
+    rows = [(k, "the same text") for k in range(50)] + [(100 + k, f"other {k % 20}") for k in range(40)]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, f"file://{tmp_path}/c").collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(d, len(ids(library, BYTE, t))) for d, t in rows]
