@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import giving_back, only, text_views
 
 WINDOW = 10
-#: Test texts of one automaton; larger test sets are taken in blocks, one scan each.
-BLOCK_BYTES = 1 << 19
-#: Columns of the scan itself, beside those that a caller carries through.
-SCANNED, ROW = "__scanned", "__row"
+#: Most bytes of test texts: beyond, find_windows raises an error. A Python worker needs some 30 times as much memory.
+MOST_BYTES = 1 << 27
+#: Windows whose items a worker remembers.
+REMEMBERED = 100_000
+#: Column of the scan itself, beside those that a caller carries through.
+SCANNED = "__scanned"
 FOUND = "n_words long, hits array<struct<first:int,last:int,start:int,end:int>>, item_ids array<long>"
 
 #: Word characters are ASCII letters and digits and all that isn't ASCII.
@@ -28,62 +30,102 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD).split()
 
 
-def windows_of(items: list[tuple[int, str]], window: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
-    """Each window's words with the items that have it; a shorter item is one window."""
-    out: dict[tuple[bytes, ...], list[int]] = {}
-    for item, text in items:
-        words = words_of((text or "").encode("utf-8", "surrogatepass"))
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            ids = out.setdefault(tuple(words[k : k + window]), [])
-            if item not in ids:
-                ids.append(item)
-    return out
-
-
 class Automaton:
-    """One Aho-Corasick automaton whose letters are words; unknown words are one letter."""
+    """One Aho-Corasick automaton whose letters are words, over all test texts; unknown words are one letter.
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[int]]) -> None:
+    Its patterns are pieces of the texts rather than all their windows, a tenth in size: any window of w words holds one
+    of the pieces of (w + 1) // 2 words that begin at every (w + 2) // 2-th word of its text. Where a piece occurs, the
+    windows around it are looked up in the sorted hashes of all windows, and compared word by word. Shorter texts are patterns themselves.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
         import ahocorasick
 
         self.letters: dict[bytes, int] = {}
+        self.window, self.items, self.short, self.seen = window, [], [], {}
+        piece, step = (window + 1) // 2, window + 1 - (window + 1) // 2
+        number = lambda w: self.letters.setdefault(w, len(self.letters) + 1)
+        patterns: dict[tuple, int] = {}  # twice the place in short (from 1), and 1 for a piece
+        words, hashes, at, begins, short = [], [], [], [], {}
+        for item, text in items:
+            coded = tuple(map(number, words_of((text or "").encode("utf-8", "surrogatepass"))))
+            if not coded:
+                continue
+            if len(coded) < window:
+                short.setdefault(coded, set()).add(item)
+                continue
+            begins.append(len(words))
+            self.items.append(item)
+            for k in range(len(coded) - window + 1):
+                hashes.append(hash(coded[k : k + window]))
+                at.append(len(words) + k)
+            for k in range(0, len(coded) - piece + 1, step):
+                patterns[coded[k : k + piece]] = 1
+            words += coded
+        for coded, ids in short.items():
+            self.short.append(ids)
+            patterns[coded] = patterns.get(coded, 0) + 2 * len(self.short)
+        order = np.argsort(np.array(hashes, np.int64), kind="stable")
+        self.words, self.begins = np.array(words, np.int32), np.array(begins, np.int64)
+        self.hashes, self.at = np.array(hashes, np.int64)[order], np.array(at, np.int64)[order]
         self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, ids in windows.items():
-            self.found.add_word(tuple(self.letters.setdefault(w, len(self.letters) + 1) for w in words), (len(words), ids))
-        if windows:
+        for coded, code in patterns.items():
+            self.found.add_word(coded, (len(coded), code))
+        if patterns:
             self.found.make_automaton()
 
+    def items_of(self, coded: tuple[int, ...]) -> frozenset:
+        """The items that have a window."""
+        known = self.seen.get(coded)
+        if known is None:
+            lo, hi = np.searchsorted(self.hashes, hash(coded)), np.searchsorted(self.hashes, hash(coded), "right")
+            at = self.at[lo:hi]
+            same = [k for k in at.tolist() if self.words[k : k + self.window].tolist() == list(coded)]
+            known = frozenset(self.items[k] for k in (np.searchsorted(self.begins, same, "right") - 1).tolist())
+            if len(self.seen) >= REMEMBERED:
+                self.seen.clear()
+            self.seen[coded] = known
+        return known
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[int]]:
         """Spans of words (first, last) in any window, merged where they overlap or touch, and the items found."""
-        spans: list[list[int]] = []
-        items: set[int] = set()
-        letter = self.letters.get
+        letter, window = self.letters.get, self.window
         coded = tuple(letter(w, 0) for w in words)
         if not self.letters or not any(coded):
             return [], []
-        for last, (n, ids) in self.found.iter(coded):
+        hits, items, begun = [], set(), 0
+        for last, (n, code) in self.found.iter(coded):
             first = last - n + 1
-            items.update(ids)
-            while spans and spans[-1][0] >= first:
-                spans.pop()
+            if code > 1:
+                items.update(self.short[code // 2 - 1])
+                hits.append((first, last))
+            if code & 1:
+                # Windows that hold this piece; those that an earlier piece led to are done.
+                for k in range(max(begun, last - window + 1), min(first, len(coded) - window) + 1):
+                    if ids := self.items_of(coded[k : k + window]):
+                        items.update(ids)
+                        hits.append((k, k + window - 1))
+                begun = max(begun, first + 1)
+        spans: list[tuple[int, int]] = []
+        for first, last in sorted(hits):
             if spans and spans[-1][1] >= first - 1:
-                spans[-1][1] = last
+                spans[-1] = (spans[-1][0], max(last, spans[-1][1]))
             else:
-                spans.append([first, last])
-        return [(a, b) for a, b in spans], sorted(items, key=lambda x: (x is not None, x))
+                spans.append((first, last))
+        return spans, sorted(items, key=lambda x: (x is not None, x))
 
 
 _built: dict[object, Automaton] = {}
 
 
-def _scanner(windows, scanned: str):
+def _scanner(shared, window: int, scanned: str):
     def run(batches):
         import pyarrow as pa
 
-        key = windows.value[0]
+        key = shared.value[0]
         if key not in _built:
             _built.clear()
-            _built[key] = Automaton(windows.value[1])
+            _built[key] = Automaton(shared.value[1], window)
         automaton, spans = _built[key], pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))
         for b in batches:
             n_words, hits, items = [], [], []
@@ -102,47 +144,26 @@ def _scanner(windows, scanned: str):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size; only one block's texts come to the driver at a time."""
-    items = only(benchmark, "item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    for k in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
-
-
-def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
     """Per row of docs (the columns of carry, and text): n_words, hits and the benchmark items with occurring windows.
 
     hits are spans of words (first and last word, start and end in code points of the original
-    text) that any window covers. Every text is scanned whole, once for each block of
-    test items; usually there is one. Nothing is shuffled with one block. Null texts have no
-    words; items without words have no window; items of fewer than window words are one.
+    text) that any window covers. Every text is scanned whole, once, where it is read: nothing is shuffled. Null texts have no
+    words; items without words have no window; items of fewer than window words are one. The test texts are
+    broadcast; a benchmark of more than MOST_BYTES raises ValueError, and is to be scanned in parts.
     """
     spark: SparkSession = docs.sparkSession
     scanned = "text" if "text" in carry else SCANNED
     body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [SCANNED]))
-    blocks = []
+    items = only(benchmark, "item_id", "text").where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of test texts are more than one automaton takes ({MOST_BYTES})")
+    held = sorted((tuple(r) for r in items.collect()), key=repr)
+    name = hashlib.sha256(repr((window, held)).encode("utf-8", "surrogatepass")).hexdigest()
+    shared = spark.sparkContext.broadcast((name, held))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c != SCANNED)
-    for block in _blocks(benchmark, block_bytes):
-        name = hashlib.sha256(repr((window, sorted(block, key=repr))).encode("utf-8", "surrogatepass")).hexdigest()
-        shared = spark.sparkContext.broadcast((name, windows_of(block, window)))
-        blocks.append(shared)
-    if len(blocks) == 1:
-        return body.mapInArrow(giving_back(_scanner(blocks[0], scanned)), f"{ddl}, {FOUND}")
-    keyed = body.withColumn(ROW, F.monotonically_increasing_id())
-    union = reduce(DataFrame.unionByName, [keyed.mapInArrow(giving_back(_scanner(x, scanned)), f"{ddl}, {ROW} long, {FOUND}") for x in blocks])
-    # Spans of several blocks may overlap; they are put in order and merged in the row.
-    firsts = [F.first(f"`{c}`").alias(c) for c in carry]
-    merged = union.groupBy(ROW).agg(*firsts, F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
-    return merged.select(*[F.col(f"`{c}`") for c in carry], "n_words", F.expr(MERGE).alias("hits"), F.sort_array("item_ids").alias("item_ids"))
-
-
-#: Merges sorted spans that overlap or touch.
-MERGE = """aggregate(hits, cast(array() as array<struct<first:int,last:int,start:int,end:int>>), (m, x) ->
-  if(size(m) > 0 and element_at(m, -1).last >= x.first - 1,
-     concat(slice(m, 1, size(m) - 1), array(named_struct('first', element_at(m, -1).first, 'last', greatest(element_at(m, -1).last, x.last), 'start', element_at(m, -1).start, 'end', greatest(element_at(m, -1).end, x.end)))),
-     concat(m, array(x))))"""
+    return body.mapInArrow(giving_back(_scanner(shared, window, scanned)), f"{ddl}, {FOUND}")
 
 
 def report(found: DataFrame) -> DataFrame:

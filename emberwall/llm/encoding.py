@@ -47,11 +47,34 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+#: The forms (normaliser, pre-tokenizer) of the tokenizer files for which the cuts here are known to be exact.
+WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+BYTE_FORM = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+
+
+def has_form(tokenizer, form: tuple, opening: str = "") -> bool:
+    """Whether a tokenizer treats words as form does, and all its special strings begin with opening; else texts go to it whole."""
+    import json
+
+    d = json.loads(tokenizer.to_str())
+    return (d["normalizer"], d["pre_tokenizer"]) == form and d["model"]["type"] == "BPE" and all(t["content"].startswith(opening) for t in d["added_tokens"])
+
+
 class WordEncoder:
-    """For lower-casing tokenizers that drop white space: ids as little-endian unsigned 32-bit bytes."""
+    """For lower-casing tokenizers that drop white space: ids as little-endian unsigned 32-bit bytes. Any other tokenizer gets texts whole."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.parts = load(path), {}
+        self.cuts = has_form(self.tokenizer, WORD_FORM, "<|")
 
     def whole(self, text: bytes) -> bytes:
         return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
@@ -65,6 +88,9 @@ class WordEncoder:
         """
         import pyarrow as pa
 
+        if not self.cuts:
+            yield from (self.whole(bytes(t)) for t in texts)
+            return
         for group in grouped(texts):
             plain = [bytes(t) for t in group]
             special = {k: self.whole(t) for k, t in enumerate(plain) if b"<|" in t}
@@ -123,7 +149,7 @@ def _parts(texts: list[bytes]):
 
 
 class ByteCounter:
-    """For byte-level BPE with one leading space per word: numbers of tokens."""
+    """For byte-level BPE with one leading space per word: numbers of tokens. Any other tokenizer gets texts whole."""
 
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+", re.ASCII)
     #: Blanks that are not ASCII's own: a run that mixes them isn't cut as PIECE cuts it.
@@ -132,6 +158,7 @@ class ByteCounter:
     def __init__(self, path: str) -> None:
         self.tokenizer, self.counts, self.parts = load(path), {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cuts = has_form(self.tokenizer, BYTE_FORM)
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -139,6 +166,9 @@ class ByteCounter:
     def count(self, texts: Iterable[memoryview]) -> Iterator[int]:
         import pyarrow as pa
 
+        if not self.cuts:
+            yield from (self.whole(str(t, "utf-8")) for t in texts)
+            return
         for group in grouped(texts):
             strings = [str(t, "utf-8") for t in group]
             pieces = [None if self.ODD_BLANK.search(t) or any(s in t for s in self.special) else self.PIECE.findall(t) for t in strings]

@@ -48,26 +48,49 @@ def hilbert_table(dimensions: int, bits: int) -> list[int]:
     return [hilbert_index(tuple(c >> (bits * (dimensions - 1 - d)) & low for d in range(dimensions)), bits) for c in range(cells)]
 
 
-def order_code(value: Column) -> Column:
-    """The first six bytes of a string as a number that orders as the string does; null is 0."""
-    return F.conv(F.rpad(F.hex(F.encode(F.coalesce(value.cast("string"), F.lit("")), "utf-8").substr(1, 6)), 12, "0"), 16, 10).cast("long")
+def numeric_cuts(df: DataFrame, dimensions: dict[str, Column], bits: int) -> dict[str, list]:
+    """The 2**bits - 1 approximate quantiles of each numeric dimension, in one small aggregation."""
+    at = [k / (1 << bits) for k in range(1, 1 << bits)]
+    found = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, at)), F.lit(1000)).alias(n) for n, c in dimensions.items()]).first()
+    return {n: list(found[n] or []) for n in dimensions}
 
 
-def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
-    """Each dimension's bucket (0 to 2**bits - 1) between its approximate quantiles over all rows.
+def text_cuts(df: DataFrame, names: list[str], bits: int, scratch: Scratch) -> dict[str, list]:
+    """The 2**bits - 1 exact quantiles of each string column (null: empty) over all rows, whole values compared.
 
-    A value that fills several quantiles steps over as many buckets, so few values still spread
-    over all bits. One small aggregation; only 2**bits - 1 bounds of each dimension come to the driver.
+    Distinct values are counted where they are, then sorted in ranges and their counts added up: within a range, and
+    over the ranges before, which are as few as the tasks. Only the bounds come to the driver.
     """
-    cuts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(c, F.array(*map(F.lit, cuts)), F.lit(1000)).alias(n) for n, c in dimensions.items()]).first()
-    return {n: sum(((F.coalesce(c, F.lit(0)) > b).cast("int") for b in found[n] or []), F.lit(0)) for n, c in dimensions.items()}
+    value = lambda n: F.struct(F.lit(n).alias("dim"), F.coalesce(F.col(n).cast("string"), F.lit("")).alias("value"))
+    counted = df.select(F.inline(F.array(*[value(n) for n in names]))).groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = counted.repartitionByRange("dim", "value").sortWithinPartitions("dim", "value").withColumn("id", F.monotonically_increasing_id())
+    ordered = scratch.write(ordered.select("dim", "value", "n", "id", F.shiftright("id", 33).alias("range")), "values")
+    earlier = Window.partitionBy("dim").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ordered.groupBy("dim", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("dim", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("dim")).alias("all"))
+    inner = F.sum("n").over(Window.partitionBy("dim", "range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    summed = ordered.withColumn("inner", inner).join(F.broadcast(ranges), ["dim", "range"])  # a row for each range
+    # Quantile k is the least value that k / cells of all rows do not exceed.
+    cells = 1 << bits
+    first, last = F.expr(f"((before + inner - n) * {cells}) div `all` + 1"), F.expr(f"least(((before + inner) * {cells}) div `all`, {cells - 1})")
+    bounds = summed.select("dim", "value", first.alias("first"), last.alias("last"))
+    rows = bounds.where("first <= last").select("dim", "value", F.explode(F.sequence("first", "last")).alias("k")).collect()  # 2**bits - 1 for each column
+    found = {n: {} for n in names}
+    for r in rows:
+        found[r["dim"]][r["k"]] = r["value"]
+    scratch.drop("values")
+    return {n: [found[n][k] for k in sorted(found[n])] for n in names}
+
+
+def bucket(value: Column, cuts: list) -> Column:
+    """How many cuts a value lies beyond: a value that fills several quantiles steps over as many, so few values still spread over all bits."""
+    return sum(((value > b).cast("int") for b in cuts), F.lit(0))
 
 
 def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """Deals docs(doc_id, text, lang, source, n_chars) into shards, runs of the Hilbert order.
 
-    Dimensions: lang, source, n_chars and doc_id, each quantised by quantiles. Rows are
+    Dimensions: lang, source, n_chars and doc_id, each quantised by quantiles of its whole values. Rows are
     ordered by curve index, then lang, source, doc_id and the text's hash, numbered, and cut into
     runs whose counts differ by one at most (law "rows"). Returns doc_id, size (UTF-8
     bytes of the text and 1; null: 1), text_crc32, law, shard, slot (from 0 in its shard), grown_shard
@@ -86,9 +109,11 @@ def hilbert_shards(docs: DataFrame, *, shards: int = SHARDS, bits: int = BITS) -
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"),
         F.xxhash64("text").alias("text_hash"),
     )
-    dims = {"lang": order_code(F.col("lang")), "source": order_code(F.col("source")), "n_chars": F.col("n_chars").cast("long"), "doc_id": F.col("doc_id").cast("long")}
-    buckets = quantised(only(docs, *names), dims, bits)
-    cell = sum((b * (1 << (bits * (len(dims) - 1 - k))) for k, b in enumerate(buckets.values())), F.lit(0))
+    numbers = {n: F.coalesce(F.col(n).cast("long"), F.lit(0)) for n in ("n_chars", "doc_id")}
+    texts = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in ("lang", "source")}
+    cuts = text_cuts(only(docs, *names), [*texts], bits, scratch) | numeric_cuts(only(docs, *names), numbers, bits)
+    dims = texts | numbers
+    cell = sum((bucket(c, cuts[n]) * (1 << (bits * (len(dims) - 1 - k))) for k, (n, c) in enumerate(dims.items())), F.lit(0))
     curve = F.get(F.split(F.lit(",".join(map(str, hilbert_table(len(dims), bits)))), ",").cast("array<int>"), cell)
     keys = ["curve", "lang", "source", "doc_id", "text_hash"]
     ordered = narrow.withColumn("curve", curve).repartitionByRange(*keys).sortWithinPartitions(*keys)

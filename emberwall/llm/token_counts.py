@@ -24,7 +24,7 @@ def _counter(path: str):
 
 
 #: Rows up to which the documents to encode, or those to pass over, are broadcast as keys of 16 bytes.
-MOST_KEYS = 1_000_000
+MOST_KEYS = 500_000
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int = 1024, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -55,14 +55,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int
         missing = digests.where("n_tokens is null").select(F.col("digest").alias("of"), "carrier")
         same = (F.col("digest") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("carrier"))
         total = keys.count()
-        if misses <= most_keys:
-            todo = body.join(F.broadcast(missing), same, "left_semi")
-        elif total - misses <= most_keys:
-            # Nearly all rows are carriers: the others are passed over.
-            others = keys.join(missing, same, "left_anti").select(F.xxhash64("doc_id", "digest").alias("other")).distinct()
-            todo = body.withColumn("own", F.xxhash64("doc_id", "digest")).join(F.broadcast(others), F.col("own") == F.col("other"), "left_anti")
-        else:
+        own = [F.xxhash64("doc_id", "digest").alias("own1"), F.xxhash64("digest", "doc_id").alias("own2")]
+        if min(misses, total - misses) > most_keys:
             todo = body.join(missing.hint("shuffle_hash"), same, "left_semi")
+        elif misses <= total - misses:
+            wanted = keys.join(missing, same, "left_semi").select(*own).distinct()
+            todo = body.select("*", *own).join(F.broadcast(wanted), ["own1", "own2"], "left_semi")
+        else:
+            # Nearly all rows are carriers: the others are passed over.
+            others = keys.join(missing, same, "left_anti").select(*own).distinct()
+            todo = body.select("*", *own).join(F.broadcast(others), ["own1", "own2"], "left_anti")
         # Rows that repeat the carrier itself are encoded with it, and stored once.
         new = todo.select("digest", "text").mapInArrow(giving_back(_counter(tokenizer)), CACHE_SCHEMA).dropDuplicates(["digest"])
         new = scratch.write(new, "new")
