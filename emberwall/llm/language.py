@@ -64,10 +64,25 @@ def _letters(texts: list[memoryview]) -> np.ndarray:
     return np.add.reduceat(((x >= 97) & (x <= 122) | (x >= 128)).astype(np.int64), np.cumsum(lengths) - lengths)
 
 
+def _counted(batches):
+    """How often each language's texts have each bucket, a row for each that occurs in a group of texts."""
+    import pyarrow as pa
+
+    for b in batches:
+        k, at = b.column("k").to_numpy(), 0
+        for group in grouped(text_views(b.column("text")), SCAN_BYTES):
+            bucket, begins = _trigrams(group)
+            sizes = np.diff(np.append(begins, len(bucket)))
+            code = np.repeat(k[at : at + len(group)].astype(np.int64), sizes) * (BUCKETS + 1) + bucket
+            found, n = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((found // (BUCKETS + 1)).astype(np.int32)), pa.array((found % (BUCKETS + 1)).astype(np.int32)), pa.array(n)], ["k", "bucket", "n"])
+            at += len(group)
+
+
 def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -> TextModel:
     """A trigram model from at most per_language (in expectation) labelled documents of each language, picked by hash.
 
-    The bound keeps the driver's share at a few MB; all else in this module covers all rows.
+    Trigrams are counted where the texts are; the driver gets the sums. All else in this module covers all rows.
     """
     rows = only(docs, "doc_id", "text", label).toDF("doc_id", "text", "label").where("label is not null and text is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # a row for each language
@@ -78,10 +93,12 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
         return TextModel(languages, np.zeros((0, BUCKETS + 1), np.float16), shares)
     share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in ample], "of string, share double"))
     picked = rows.join(share, F.col("label") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    at, seen = {k: i for i, k in enumerate(ample)}, np.zeros((len(ample), BUCKETS + 1), np.float32)
-    for r in picked.select("label", "text").toLocalIterator():
-        bucket, _ = _trigrams([memoryview(r["text"].encode("utf-8", "surrogatepass"))])
-        seen[at[r["label"]]] += np.bincount(bucket, minlength=BUCKETS + 1)
+    at = F.create_map(*[x for i, k in enumerate(ample) for x in (F.lit(k), F.lit(i))])
+    rows = picked.select(at[F.col("label")].alias("k"), "text").mapInArrow(giving_back(_counted), "k int, bucket int, n long")
+    # A row for each language and bucket in use: no more than the model's own cells.
+    sums = rows.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros((len(ample), BUCKETS + 1), np.float32)
+    seen[sums["k"].to_numpy(), sums["bucket"].to_numpy()] = sums["n"].to_numpy()
     table = np.zeros(seen.shape, np.float16)
     for i, row in enumerate(seen):
         row = row[:BUCKETS] + 0.05
@@ -184,7 +201,8 @@ def fuse(scored: DataFrame, priors: DataFrame, model: TextModel, carry: list[str
 
 def page_evidence(pages: DataFrame) -> DataFrame:
     """(page_id, text, declared, host, suffix) of web pages: visible text, the markup's language, and the address's parts."""
-    text = F.regexp_replace("html", "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->|<[^>]*+>", " ")
+    # A script, style or comment without an end runs to the end of the page, so each is looked for once.
+    text = F.regexp_replace("html", "(?is)<script\\b(?:.*?</script\\s*+>|.*+)|<style\\b(?:.*?</style\\s*+>|.*+)|<!--(?:.*?-->|.*+)|<[^>]*+>", " ")
     host = F.lower(F.regexp_extract("url", "(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     declared = F.lower(F.regexp_extract("html", "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})\\b", 1))
     blank = lambda c: F.when(c != "", c)

@@ -108,31 +108,36 @@ def _cut(rule: str, step: int, slack: float) -> Column:
 def thresholds(counted: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """Tested cutoffs: stratum, step, n, k, p_value, certified and a cutoff for each rule.
 
-    counted has doc_id, stratum and the counts; labels has doc_id and quality (1: good). All labels count. Labelled
-    documents that pass the base rules are split by a hash of doc_id. A third proposes cutoffs for each
-    step from its good documents' quantiles. The rest, untouched so far, tests each step's
-    rules together: of n good documents k are rejected, and the exact binomial p-value of
-    "more than limit are" must be at most error / (strata * steps) (Bonferroni).
+    counted has doc_id, stratum and the counts; labels has doc_id and quality (1: good). Documents that pass the base rules
+    take part. All labels count: of the documents labelled good, a tenth (by a hash of doc_id) proposes each step's cutoffs by its
+    quantiles. The rest, untouched so far, are the holdout: of n of them k are rejected by a step's rules together, and
+    p_value is the exact binomial one of "more than limit are".
+
+    Correction: within a stratum the steps are tested in their fixed order, and the first that fails ends the sequence, so that
+    each is tested at the stratum's whole level. That is error over the number of strata that have enough good documents to
+    certify anything (a count that doesn't depend on how they come out).
     """
     good = only(labels, "doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counted.where(~base_failed()).where("stratum is not null").join(good, "doc_id", "left_semi").select("stratum", "doc_id", *[c.alias(m) for m, c in measures().items()])
-    held = held.withColumn("proposes", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(3)) == 0)
+    held = held.withColumn("proposes", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(10)) == 0)
     at = F.array(F.lit(0.5), *[F.lit(1 - share) for _, share in risk.steps])
     quantiles = held.where("proposes").groupBy("stratum").agg(*[F.percentile_approx(F.col(m) * sign, at, F.lit(10_000)).alias(m) for m, sign in RULES.items()])
-    proposed = quantiles.select("stratum", *[F.array(*[_cut(m, k, slack) for k, (slack, _) in enumerate(risk.steps)]).alias(m) for m in RULES])
-    grid = proposed.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(len(risk.steps) - 1))).alias("step"), *RULES)
-    grid = grid.select("stratum", "step", *[F.get(m, F.col("step")).alias(f"cut_{m}") for m in RULES])
+    cuts = quantiles.select("stratum", *[F.array(*[_cut(m, k, slack) for k, (slack, _) in enumerate(risk.steps)]).alias(f"cuts_{m}") for m in RULES])
     # One row of counts for each stratum and step: conditional sums in one pass, then unpivoted.
-    cuts = proposed.select("stratum", *[F.col(m).alias(f"cuts_{m}") for m in RULES])
     tested = held.where("not proposes").join(broadcast_if_small(cuts, 100_000), "stratum")
     fails = [sum_of([F.col(m) * sign > F.get(f"cuts_{m}", F.lit(k)) for m, sign in RULES.items()]) for k in range(len(risk.steps))]
     counts = tested.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f.cast("long")).alias(f"k{k}") for k, f in enumerate(fails)])
-    counts = counts.select("stratum", "n", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(len(risk.steps))])).alias("step", "k"))
-    strata = counts.select("stratum").distinct().count()
-    level = risk.error / max(1, strata * len(risk.steps))
+    # A row for each stratum: the j-th largest could be certified at error / j if none of its good documents were rejected.
+    ranked = counts.withColumn("j", F.row_number().over(Window.orderBy(F.desc("n"), "stratum")))
+    able = ranked.agg(F.max(F.when(F.pow(F.lit(1 - risk.limit), F.col("n")) <= risk.error / F.col("j"), F.col("j"))).alias("able"))
+    counts = counts.crossJoin(F.broadcast(able))  # one row
+    counts = counts.select("stratum", "n", "able", F.posexplode(F.array(*[F.col(f"k{k}") for k in range(len(risk.steps))])).alias("step", "k"))
     # Beyond limit * n rejections the tail is over a half, and its terms needn't be summed.
     p = F.when(F.col("k") > F.col("n") * risk.limit, F.lit(1.0)).otherwise(binomial_tail(F.col("k"), F.col("n"), risk.limit))
-    return counts.withColumn("p_value", p).withColumn("certified", F.col("p_value") <= level).join(grid, ["stratum", "step"])
+    counts = counts.withColumn("p_value", p).withColumn("passes", F.coalesce(F.col("p_value") <= risk.error / F.col("able"), F.lit(False)))
+    in_order = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("certified", F.min("passes").over(in_order)).drop("able", "passes")
+    return counts.join(cuts, "stratum").select("stratum", "n", "step", "k", "p_value", "certified", *[F.get(f"cuts_{m}", "step").alias(f"cut_{m}") for m in RULES])
 
 
 def sum_of(conditions: list[Column]) -> Column:

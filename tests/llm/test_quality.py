@@ -53,13 +53,44 @@ def test_rejections_are_certified(labelled):
     assert all(r["kept"] for k, r in got.items() if k >= 9000)
 
 
-def test_no_limit_without_evidence(labelled, spark):
+def wanted(rows, good, proposing, risk=quality.Risk()):
+    """{(stratum, step): (n, k, certified, cutoffs)} in plain Python."""
+    sides = {}
+    for d, text, stratum in rows:
+        n, chars, symbols, dup, repeat = brute.base_counts(text)
+        if n < 50 or 100 * repeat > 50 * n or d not in good:
+            continue
+        lines = sum(bool(x.strip(quality.BLANKS)) for x in text.split("\n"))
+        mean, capitals = chars / n, sum("A" <= c <= "Z" for c in text)
+        values = {"mean_word": mean, "short_word": -mean, "symbol_share": symbols / n, "dup_line_share": dup / max(lines, 1), "repeat_share": repeat / n, "capital_share": capitals / max(chars, 1)}
+        sides.setdefault(stratum, ([], []))[d not in proposing].append(values)
+    sizes = sorted((len(held) for some, held in sides.values() if some and held), reverse=True)
+    able = max((j for j, n in enumerate(sizes, 1) if (1 - risk.limit) ** n <= risk.error / j), default=0)
+    out = {}
+    for stratum, (some, held) in sides.items():
+        going = bool(able)
+        for step, (slack, share) in enumerate(risk.steps):
+            cut = {}
+            for m in quality.RULES:
+                at = lambda q, m=m: sorted(v[m] for v in some)[max(0, math.ceil(q * len(some)) - 1)]  # noqa: B023
+                middle, far = at(0.5), at(1 - share)
+                cut[m] = max(far + slack * (far - middle), quality.LEAST.get(m, -math.inf))
+            k, n = sum(any(v[m] > cut[m] for m in cut) for v in held), len(held)
+            p = sum(math.comb(n, i) * risk.limit**i * (1 - risk.limit) ** (n - i) for i in range(k + 1))
+            going = going and p <= risk.error / able
+            out[stratum, step] = (n, k, going, {m: round(c, 9) for m, c in cut.items()})
+    return out
+
+
+def test_thresholds_equal_brute_force(labelled):
+    """Cutoffs, counts, the fixed sequence and the correction; few good documents certify nothing and don't tighten the others' level."""
     docs, labels = labelled
     counted = quality.with_counts(docs.withColumnRenamed("lang", "stratum"), ["doc_id", "stratum"])
-    found = quality.thresholds(counted, labels).collect()
-    for r in found:
-        assert r["certified"] == (r["p_value"] <= 0.05 / (2 * len(quality.Risk().steps)))
-    assert not any(r["certified"] for r in found if r["stratum"] == "fr")
+    got = {(r["stratum"], r["step"]): (r["n"], r["k"], r["certified"], {m: round(r[f"cut_{m}"], 9) for m in quality.RULES}) for r in quality.thresholds(counted, labels).collect()}
+    proposing = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(10)) == 0).select("doc_id").collect()}
+    want = wanted([tuple(r) for r in docs.select("doc_id", "text", "lang").collect()], {r["doc_id"] for r in labels.collect() if r["quality"] == 1}, proposing)
+    assert got == want
+    assert any(v[2] for v in got.values()) and not any(v[2] for (s, _), v in got.items() if s == "fr")
 
 
 def test_native(docs, spark):
