@@ -1,72 +1,5 @@
-"""The corpus pipeline: language, near-duplicates, benchmark passages, personal data, packing.
+"""The corpus pipeline at the driver's place for it; the code is emberwall.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written and read again
-as the next one's docs. All but the last return the columns of documents.
-"""
+from emberwall.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from emberwall.llm import decontamination, language, near_dedup, packing, pii
-from emberwall.llm.common import Scratch, sheltered, table
-from emberwall.llm.queries import END_ID, tokenizer_path
-
-
-#: The columns of documents; others that a table may have are carried along untouched.
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found with confidence stay."""
-    model = language.fit(docs)
-
-    def stage(rows: DataFrame) -> DataFrame:
-        scored = language.score_text(language.document_evidence(rows), model, [*rows.columns, "declared", "host", "suffix"])
-        return language.fuse(scored, language.host_priors(scored, model), model, rows.columns).where("accepted")
-
-    return sheltered(docs, COLUMNS, stage)
-
-
-def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group stays (five words, similarity 0.8)."""
-    found = near_dedup.near_duplicates(docs, words=5, percent=80)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return sheltered(docs, COLUMNS, lambda rows: rows.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"))
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    return sheltered(docs, COLUMNS, lambda rows: decontamination.find_windows(rows, benchmark, carry=tuple(rows.columns)).where(F.size("hits") == 0))
-
-
-def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; personal data in them is replaced by its kind."""
-    return sheltered(docs, COLUMNS, pii.redacted)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=END_ID)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("minhash_near_dedup", minhash_near_dedup),
-    ("benchmark_decontamination", decontaminate),
-    ("pii_redaction", redact_pii),
-    ("cost_balanced_packing", pack_sequences),
-]
-
-#: SQL can express neither the language model nor the tokenizer; tests compare with a plain Python version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = scratch.write(stage(spark, docs, sf_dir), f"{k}-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
