@@ -33,22 +33,22 @@ PAGE = 1000
 INTERFACES = [("vtnet0", "LAN"), ("vtnet1", "WAN")]
 NETS = [("10.0.1.1", "HostA"), ("10.0.0.0/17", "NetLow"), ("10.0.0.0/8", "NetAll"), ("192.168.2.0/24", "Dmz")]
 PORT_ALIASES = [("80", "HTTP", 0), ("443", "HTTPS", 1), *[(str(p), "AltWeb", p) for p in range(8080, 8091)]]
-RULES_DUMP = """block in log quick inet from {<blocklist>} to {any} label "031d9d1edc75c3c8c634a8aee47134ef" # Block list (IPv4) in
-pass out quick on em0 label "abc123def456" # Allow HTTP/HTTPS
-block in quick on em1 label "xyz789uvw012" # Block SMTP
-pass in quick on em1 label "abc123def456" # Allow web
-pass in quick label "h2"
+RULES_DUMP = """pass in quick on ix0 proto tcp label "5f0c5f0c5f0c5f0c5f0c5f0c5f0c5f0c" # Mail gate (v6) out
+block out on ix1 label "77aa01" # Printer room
+pass out on ix2 label "c0ffee9" # Time servers
+pass out on ix1 label "77aa01" # Printer floor
+block in label "h2"
 # next line
 """
 RAW_ALIASES = [
-    (0, "1", "WebServer1", "host", "192.168.1.100"),
-    (1, None, "AllWebServers", "host", "WebServer1\n192.168.1.101"),
+    (0, "1", "Kiosk", "host", "172.16.9.7"),
+    (1, None, "Lobby", "host", "Kiosk\n172.16.9.8"),
     (2, "1", "A", "network", "B"),
     (3, "1", "B", "network", "C"),
     (4, "1", "C", "network", "1.1.1.1"),
     (5, "0", "Off", "host", "9.9.9.9"),
-    (6, "1", "Web", "port", "80, 443,8080:8082"),
-    (7, "1", "Odd", "port", "abc:def\n90:80\n443"),
+    (6, "1", "Mail", "port", "25, 465,2525:2527"),
+    (7, "1", "Odd", "port", "abc:def\n90:80\n465"),
     (8, "1", "Other", "external", "8.8.8.8"),
     (9, "1", "Empty", "host", ""),
 ]
@@ -141,11 +141,11 @@ def parse_reject_count(spark, d):
     return view.counts(lines, parse_lines(lines)).select((F.col("n_lines") - F.col("n_entries")).alias("n_rejected"))
 
 
-SHORT = [("2024-01-15T10:30:45 host filterlog: 100,200 x",), ("malformed line with filterlog but no structure",), ("a b c filterlog:",), ("a b filterlog",), ("",), ("2024-01-15T10:30:45+02:00\tx  filterlog 1,,,r,em0,match , pass,in,4,0x0\r",)]
+SHORT = [("2031-05-01T07:08:09 gate filterlog: 45,9 x",), ("three words then filterlog and odd remains",), ("a b c filterlog:",), ("a b filterlog",), ("",), ("2031-05-01T07:08:09+02:00\tx  filterlog 1,,,r,ix0,match , pass,in,4,0x0\r",)]
 
 
-@query("""WITH v(rulenr, action, "interface", ipversion, tos, ts) AS (VALUES ('100', '', '', '', NULL, TIMESTAMP '2024-01-15 10:30:45'),
-    ('but no structure', '', '', '', NULL, NULL), ('1', 'pass', 'em0', '4', '0x0', TIMESTAMP '2024-01-15 10:30:45')) SELECT * FROM v""")
+@query("""WITH v(rulenr, action, "interface", ipversion, tos, ts) AS (VALUES ('45', '', '', '', NULL, TIMESTAMP '2031-05-01 07:08:09'),
+    ('and odd remains', '', '', '', NULL, NULL), ('1', 'pass', 'ix0', '4', '0x0', TIMESTAMP '2031-05-01 07:08:09')) SELECT * FROM v""")
 def parse_short(spark, d):
     return parse_lines(spark.createDataFrame(SHORT, "value string")).select("rulenr", "action", "interface", "ipversion", "tos", "ts")
 
@@ -227,9 +227,10 @@ def f_regex_ignore_case(spark, d):
     return table(spark, d, "orders").where(compare(F.col("o_orderpriority"), "regex", "^[1-3]-(Urgent|HIGH)")).select("o_orderkey")
 
 
-@query("SELECT event_id FROM l WHERE FALSE")
+@query("SELECT event_id FROM l WHERE action = 'block'")
 def f_bad_regex(spark, d):
-    return matching(spark, d, FilterSpec().where("src", "regex", "[invalid(regex"))
+    """A pattern that can't be used is false, so its negation is true."""
+    return matching(spark, d, FilterSpec().where("src", "regex", "(unclosed[", negate=True).where("action", "==", "block"))
 
 
 def _numeric() -> None:
@@ -245,9 +246,10 @@ def _numeric() -> None:
 _numeric()
 
 
-@query("SELECT event_id FROM l WHERE FALSE")
+@query("SELECT event_id FROM l WHERE action = 'block'")
 def f_uncastable(spark, d):
-    return matching(spark, d, FilterSpec().where("action", ">", "100"))
+    """A word is no number: the comparison is false, and its negation true."""
+    return matching(spark, d, FilterSpec().where("action", ">", "100", negate=True).where("action", "==", "block"))
 
 
 @query("SELECT event_id FROM l WHERE NOT coalesce(TRY_CAST(srcport AS DOUBLE) > 1000, FALSE)")
@@ -317,11 +319,36 @@ def f_label(spark, d):
     return FilterSpec().where("Label", "contains", "rule one").apply(rows).select("event_id")
 
 
-@query("SELECT event_id FROM l WHERE FALSE")
+@query("SELECT event_id FROM l WHERE coalesce(protoname, '') = 'udp'")
 def f_label_strict(spark, d):
-    """Without joined labels the field is ''."""
+    """Without joined labels the field is '', which holds nothing."""
     rows = enrich.rule_labels(parsed(spark, d), labels(spark))
-    return FilterSpec(labels=False).where("Label", "contains", "rule one").apply(rows).select("event_id")
+    return FilterSpec(labels=False).where("Label", "contains", "rule one", negate=True).where("Protocol", "==", "udp").apply(rows).select("event_id")
+
+
+# Filters as they are edited and shown.
+
+
+@query("SELECT event_id FROM l WHERE action = 'block'")
+def f_other_connective(spark, d):
+    """A condition joined by anything but AND and OR takes no part."""
+    return matching(spark, d, FilterSpec().where("action", "==", "block").where("protoname", "==", "udp", connective="XOR"))
+
+
+@query("SELECT event_id FROM l WHERE coalesce(protoname, '') = 'tcp'")
+def f_condition_removed(spark, d):
+    return matching(spark, d, FilterSpec().where("action", "==", "block").where("protoname", "==", "tcp").without(0))
+
+
+@query("SELECT event_id FROM l WHERE TRUE")
+def f_cleared(spark, d):
+    return matching(spark, d, FilterSpec().where("action", "==", "block").between(start="2024-01-10 00:00:00").clear())
+
+
+@query("WITH v(n, summary) AS (VALUES (0, 'No filters active'), (1, 'action == ''block'' |  OR NOT src contains ''10.'' | Time range: from 2024-01-02 00:00:00 ')) SELECT * FROM v")
+def f_summary(spark, d):
+    spec = FilterSpec().where("Action", "==", "block").where("Source IP", "contains", "10.", connective="OR", negate=True).between(start="2024-01-02 00:00:00")
+    return spark.createDataFrame([(0, FilterSpec().describe()), (1, spec.describe())], "n int, summary string")
 
 
 @query("SELECT event_id FROM l WHERE action = 'block' AND coalesce(dstport, '') = '22'")
@@ -395,8 +422,8 @@ def j_rule_label(spark, d):
     return enrich.rule_labels(parsed(spark, d), labels(spark)).select("event_id", "rule_label")
 
 
-@query("""WITH v(kind, item, alias) AS (VALUES ('ip', '192.168.1.100', 'AllWebServers'), ('ip', 'WebServer1', 'AllWebServers'), ('ip', '192.168.1.101', 'AllWebServers'),
-    ('ip', 'B', 'A'), ('ip', 'C', 'A'), ('ip', '1.1.1.1', 'C'), ('port', '80', 'Web'), ('port', '443', 'Odd'), ('port', '8080', 'Web'), ('port', '8081', 'Web'), ('port', '8082', 'Web'), ('port', 'abc:def', 'Odd')) SELECT * FROM v""")
+@query("""WITH v(kind, item, alias) AS (VALUES ('ip', '172.16.9.7', 'Lobby'), ('ip', 'Kiosk', 'Lobby'), ('ip', '172.16.9.8', 'Lobby'),
+    ('ip', 'B', 'A'), ('ip', 'C', 'A'), ('ip', '1.1.1.1', 'C'), ('port', '25', 'Mail'), ('port', '465', 'Odd'), ('port', '2525', 'Mail'), ('port', '2526', 'Mail'), ('port', '2527', 'Mail'), ('port', 'abc:def', 'Odd')) SELECT * FROM v""")
 def alias_reference_resolve(spark, d):
     raw = spark.createDataFrame(RAW_ALIASES, "alias_pos int, enabled string, name string, type string, content string")
     return enrich.resolve_aliases(raw).select("kind", "item", "alias")
@@ -408,7 +435,7 @@ def alias_last_wins(spark, d):
     return enrich.last_wins(rows, "item", "alias", "ord")
 
 
-@query("""WITH v(rid, description) AS (VALUES ('031d9d1edc75c3c8c634a8aee47134ef', 'Block list (IPv4) in'), ('abc123def456', 'Allow web'), ('xyz789uvw012', 'Block SMTP'), ('h2', 'next line')) SELECT * FROM v""")
+@query("""WITH v(rid, description) AS (VALUES ('5f0c5f0c5f0c5f0c5f0c5f0c5f0c5f0c', 'Mail gate (v6) out'), ('77aa01', 'Printer floor'), ('c0ffee9', 'Time servers'), ('h2', 'next line')) SELECT * FROM v""")
 def rules_label_extract(spark, d):
     return rules.extract_labels(spark.createDataFrame([(RULES_DUMP,)], "value string"))
 
@@ -597,7 +624,7 @@ def xml_aliases(spark, d):
     return nets.select("item", "alias").unionByName(ports_.select(F.col("port").alias("item"), "alias"))
 
 
-@query("WITH v(rid, description) AS (VALUES ('031d9d1edc75c3c8c634a8aee47134ef', 'Block list (IPv4) in'), ('abc123def456', 'Allow web'), ('xyz789uvw012', 'Block SMTP'), ('h2', 'next line')) SELECT * FROM v")
+@query("WITH v(rid, description) AS (VALUES ('5f0c5f0c5f0c5f0c5f0c5f0c5f0c5f0c', 'Mail gate (v6) out'), ('77aa01', 'Printer floor'), ('c0ffee9', 'Time servers'), ('h2', 'next line')) SELECT * FROM v")
 def rules_file(spark, d):
     return rules.read_rules(spark, _whole_file(spark, RULES_DUMP))
 
