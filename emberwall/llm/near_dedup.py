@@ -237,7 +237,7 @@ def _prefixes(frequent, percent: int):
 
 
 def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame | None:
-    """Candidates (a, b) between components that meet in a dense region: a superset of all links; None if no region holds two.
+    """Candidates (a, b, of_a, of_b, room) between components of_a and of_b that meet in a dense region: a superset of all links; None if no region holds two.
 
     An exact join of the documents of those regions with size, prefix and position filters. Shingles that are frequent there,
     such as those of boilerplate, come last in the order, so documents that share only them are never compared.
@@ -264,7 +264,10 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     rows = scratch.write(sets.join(meeting, "node").mapInArrow(giving_back(_prefixes(shared, percent)), schema), "prefixes")
 
     fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
-    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    # How far both sizes are from what the filter would reject: the more, the likelier is a link.
+    room = F.least(F.col("x.most") - F.col("y.n"), F.col("y.most") - F.col("x.n")).alias("room")
+    ends = F.array_sort(F.array(*[F.struct(f"{k}.node", f"{k}.component") for k in "xy"]))
+    pair = [ends[0]["node"].alias("a"), ends[1]["node"].alias("b"), ends[0]["component"].alias("of_a"), ends[1]["component"].alias("of_b"), room]
     few = rows.where("not often")
     lists = few.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least <> greatest").select("shingle")
     few = scratch.write(few.join(lists, "shingle", "left_semi"), "short-lists")
@@ -281,7 +284,7 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     other = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     at = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") == F.col("y.block"))
     pairs = pairs.union(one.alias("x").join(other.alias("y"), at & fits).select(*pair))
-    pairs = scratch.write(pairs.distinct(), "left-over")
+    pairs = scratch.write(pairs.groupBy("a", "b", "of_a", "of_b").agg(F.max("room").alias("room")), "left-over")
     shared.unpersist()
     scratch.drop("sets", "counts", "prefixes", "short-lists", "long-lists", "meeting")
     return pairs
@@ -371,9 +374,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         links = links.union(more)
         found = connected_components(links, scratch, "second")
     left = _left_over(dense, found, texts, scratch, words, percent)
-    last = confirmed(scored(left, "left-pairs"), "links-3") if left is not None else None
-    if last is not None and not last.isEmpty():
-        found = connected_components(links.union(last), scratch, "third")
+    if left is not None and not left.isEmpty():
+        # One link joins two components, and a few likely pairs of each two find most; all pairs still apart follow.
+        sides = (F.least("of_a", "of_b").alias("c"), F.greatest("of_a", "of_b").alias("d"))
+        key, pair = F.xxhash64("a", "b"), F.struct("a", "b")
+        some = left.groupBy(*sides).agg(F.array(F.max_by(pair, F.struct("room", key)), F.max_by(pair, key), F.min_by(pair, key)).alias("some"))
+        some = scratch.write(some.select(F.inline("some")).distinct(), "likely")
+        links = links.union(confirmed(some, "links-3"))
+        found = connected_components(links, scratch, "third")
+        apart = left.join(some, ["a", "b"], "left_anti").select("a", "b").join(tree_of("a", found), "a", "left").join(tree_of("b", found), "b", "left")
+        apart = scratch.write(apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")).select("a", "b"), "apart")
+        last = None if apart.isEmpty() else confirmed(scored(apart, "left-pairs"), "links-4")
+        if last is not None and not last.isEmpty():
+            found = connected_components(links.union(last), scratch, "fourth")
 
     own = classes.select("digest", "node", F.col("doc_id").alias("rep"), F.col("n").alias("rows")).join(found, "node", "left")
     own = scratch.write(own, "own")
