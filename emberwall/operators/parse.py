@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK, WORD, by_alphabet, field, scrubbed, strip
+from ..functions.text import BLANK, by_alphabet, field, scrubbed, strip
 from ..schema import COMMON, DEFAULT_HOST, IPV4, PORTS, PROTOCOLS, TCP
 
 TAG = "filterlog"
@@ -52,15 +52,16 @@ def parse_lines(
     enough = lambda blank, word: F.col("raw_line").rlike(f"^{word}++(?:{blank}++{word}++){{2}}{blank}++{word}")
     after = lambda blank, word: F.regexp_replace(F.regexp_extract(rest, f"(?s)^{word}*+{blank}++(.+)$", 1), f"{blank}++", " ")
     payload = by_alphabet(F.col("raw_line"), lambda blank, word: F.when(enough(blank, word), after(blank, word)).otherwise(F.lit("")))
-    first = F.regexp_extract("raw_line", f"^({WORD}++)", 1)
+    first = by_alphabet(F.col("raw_line"), lambda _, word: F.regexp_extract("raw_line", f"^({word}++)", 1))
     names = [F.col(f"`{c}`") for c in lines.columns if c != value]
-    # The array of one element is a fence: filters on fields stop above it, so that a line's one
-    # expensive match is made once, and not again for every condition that is pushed down.
-    split = kept.select(*names, "raw_line", F.explode(F.array(F.split(payload, ",", -1))).alias("__f"))
+    # The array of one element is a fence: filters on fields and times stop above it, so that a line's
+    # expensive matches are made once, and not again for every condition that is pushed down.
+    split = kept.select(*names, "raw_line", F.explode(F.array(F.struct(F.split(payload, ",", -1).alias("f"), first.alias("first")))).alias("__x"))
+    split = split.select(*names, "raw_line", F.col("__x.f").alias("__f"), F.col("__x.first").alias("__first"))
     split = split.filter((F.size("__f") > 1) | (F.get("__f", F.lit(0)) != ""))
 
     f, n = F.col("__f"), F.size("__f")
-    base = split.select(*names, "raw_line", "__f", first.alias("__timestamp__"), *[field(f, k).alias(c) for c, k in COMMON.items()], field(f, at(IPV4["protonum"])).alias("__n"))
+    base = split.select(*names, "raw_line", "__f", F.col("__first").alias("__timestamp__"), *[field(f, k).alias(c) for c, k in COMMON.items()], field(f, at(IPV4["protonum"])).alias("__n"))
     is_v4 = (F.col("ipversion") == "4") & (n > 9)
     has_ports = is_v4 & F.col("__n").isin("6", "17") & (n > at(20))
     is_tcp = has_ports & (F.col("__n") == "6") & (n > at(23))
