@@ -25,5 +25,9 @@ class ExportError(LogEngineError):
     """A view that can't be written."""
 
 
+class ValidationError(LogEngineError, ValueError):
+    """An argument outside what is allowed, such as an unknown layout."""
+
+
 class ConnectionFailed(LogEngineError):
-    """The firewall can't be reached for its rules."""
+    """The firewall can't be reached for its rules; details has the reason: timeout, authentication or other."""

@@ -57,6 +57,17 @@ def set_up_log(path: str | None = None, level: int = logging.INFO) -> logging.Lo
     return log
 
 
+def log_exception(error: BaseException, context: str = "") -> None:
+    """Logs an error with its trace and, for this engine's own errors, its details."""
+    details = getattr(error, "details", None)
+    logging.getLogger("emberwall").error("%s%s%s", f"{context}: " if context else "", error, f" {details}" if details else "", exc_info=error)
+
+
+def log_user_action(action: str, **details) -> None:
+    shown = " ".join(f"{k}={v!r}" for k, v in details.items())
+    logging.getLogger("emberwall").info("user action: %s %s", action, shown)
+
+
 @contextmanager
 def timed(what: str) -> Iterator[None]:
     """Logs how long a with-block took."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.netaddr import ipv4_number, network_range
 from ..functions.text import strip
-from .joins import bounded
+from .joins import BROADCAST_ROWS, bounded
 
 #: Networks up to which each row looks through an array; beyond, rows join on their masked address.
 ARRAY_NETWORKS = 256
@@ -19,8 +19,10 @@ def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 
 def _look_up(df: DataFrame, dim: DataFrame, key: str, value: str, on: str, out: str, default: Column | None) -> DataFrame:
-    """Left join on a unique key; dim is deduplicated first, so rows never multiply."""
-    one = dim.groupBy(F.col(key).alias("__key")).agg(F.max(value).alias("__value")) if "ord" not in dim.columns else last_wins(dim, key, value, "ord").select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    """Left join on a unique key; dim is deduplicated first, so rows never multiply. The last value of a key in
+    order of ord wins, or of dim's own rows where it has none."""
+    ranked = dim if "ord" in dim.columns else dim.withColumn("ord", F.monotonically_increasing_id())
+    one = last_wins(ranked, key, value, "ord").select(F.col(key).alias("__key"), F.col(value).alias("__value"))
     joined = df.join(bounded(one), F.col(f"`{on}`") == F.col("__key"), "left")
     found = F.col("__value") if default is None else F.coalesce("__value", default)
     return joined.withColumn(out, found).drop("__key", "__value")
@@ -61,8 +63,8 @@ def ip_alias(rows: DataFrame, nets: DataFrame, column: str, strategy: str = "aut
     """<column>_alias: the exact item's alias, or else that of the first network in order that holds the address.
 
     "array": networks (at most ARRAY_NETWORKS) as a literal that each row filters, no join at all.
-    "prefix": an equi-join on the address masked to each prefix length in use, 33 at most, and
-    the least ord of the hits; only distinct addresses are probed. Neither is a range join.
+    "prefix": an equi-join on the masked address for each prefix length in use, 33 at most, and the
+    least ord of the hits; up to BROADCAST_ROWS networks no row moves. Neither is a range join.
     """
     ranges = nets.where("is_cidr and lo is not null")
     if strategy == "auto":
@@ -76,14 +78,16 @@ def ip_alias(rows: DataFrame, nets: DataFrame, column: str, strategy: str = "aut
         out = out.withColumn("__ip", ipv4_number(F.col(f"`{column}`")))
         hit = F.get(F.filter(literal, lambda n: (F.col("__ip") >= n["lo"]) & (F.col("__ip") <= n["hi"])), F.lit(0))["alias"]
         return out.withColumn(f"{column}_alias", F.coalesce("__exact", F.when(F.col("__ip").isNotNull(), hit))).drop("__ip", "__exact")
-    lengths = [r[0] for r in ranges.select("prefix").distinct().collect()]  # 33 at most
-    address = rows.select(F.col(f"`{column}`").alias("__address")).distinct().withColumn("__ip", ipv4_number(F.col("__address"))).where("__ip is not null")
+    lengths = sorted(r[0] for r in ranges.select("prefix").distinct().collect())  # 33 at most
+    small = ranges.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     mask = lambda p: F.lit(((1 << p) - 1) << (32 - p)).cast("long")
-    probes = address.select("__address", F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.col("__ip").bitwiseAND(mask(p)).alias("lo")) for p in lengths])).alias("p")) if lengths else address.select("__address").where("false").withColumn("p", F.struct(F.lit(0).alias("prefix"), F.lit(0).cast("long").alias("lo")))
-    hits = probes.select("__address", "p.*").join(bounded(ranges.select("prefix", "lo", "alias", "ord")), ["prefix", "lo"])
-    first = hits.groupBy("__address").agg(F.min_by("alias", "ord").alias("__net"))
-    out = out.join(first, F.col(f"`{column}`") == F.col("__address"), "left")
-    return out.withColumn(f"{column}_alias", F.coalesce("__exact", "__net")).drop("__address", "__exact", "__net")
+    out = out.withColumn("__ip", ipv4_number(F.col(f"`{column}`")))
+    for p in lengths:
+        side = ranges.where(F.col("prefix") == p).groupBy(F.col("lo").alias("__lo")).agg(F.min(F.struct("ord", "alias")).alias(f"__hit{p}"))
+        out = out.join(F.broadcast(side) if small else side, F.col("__ip").bitwiseAND(mask(p)) == F.col("__lo"), "left").drop("__lo")
+    hits = [F.col(f"__hit{p}") for p in lengths]
+    first = (F.least(*hits) if len(hits) > 1 else hits[0])["alias"] if hits else F.lit(None).cast("string")
+    return out.withColumn(f"{column}_alias", F.coalesce("__exact", first)).drop("__exact", "__ip", *[f"__hit{p}" for p in lengths])
 
 
 def decorated(value: Column, alias: Column) -> Column:

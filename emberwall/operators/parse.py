@@ -7,16 +7,20 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ValidationError
 from ..functions.text import BLANK, by_alphabet, field, scrubbed, strip
 from ..schema import COMMON, DEFAULT_HOST, IPV4, PORTS, PROTOCOLS, TCP
 
 TAG = "filterlog"
 _ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T"
+#: The compact form without separators; seconds may be absent.
+_COMPACT = "^([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})"
 
 
 def timestamp(token: Column) -> Column:
     """The wall clock of an ISO time (an offset is dropped), NULL for any other form."""
-    return F.when(token.rlike(_ISO), F.replace(token, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
+    spread = F.regexp_replace(F.regexp_replace(token, f"{_COMPACT}([0-9]{{2}})", "$1-$2-$3 $4:$5:$6"), _COMPACT, "$1-$2-$3 $4:$5")
+    return F.when(token.rlike(_ISO), F.replace(token, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")).when(token.rlike(_COMPACT), spread.try_cast("timestamp_ntz"))
 
 
 def protocol_name(number: Column) -> Column:
@@ -41,7 +45,7 @@ def parse_lines(
     lines cost one substring search; nothing shuffles.
     """
     if layout not in ("standard", "no_ecn"):
-        raise ValueError(f"no such layout: {layout}")
+        raise ValidationError(f"no such layout: {layout}", layout=layout)
     shift = 1 if layout == "no_ecn" else 0
     at = lambda k: k - shift if k > 10 else k
     others = [F.col(f"`{c}`") for c in lines.columns if c != value]

@@ -84,6 +84,21 @@ def tail(rows: DataFrame, n: int, *, order: str = "row_idx") -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(max(n, 0)).orderBy(order)
 
 
+def first_rows(rows: DataFrame, n: int, *order: str, name: str = "row_idx") -> DataFrame:
+    """The first n rows in the given order, numbered from 0. Each task keeps its own n: no sort or shuffle of all rows."""
+    top = rows.orderBy(*order).limit(max(n, 0))
+    return top.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))  # a window over n rows
+
+
+def last_rows(rows: DataFrame, n: int, *order: str, name: str = "row_idx") -> DataFrame:
+    """The last n rows in the given order with their numbers among all; a count and n rows from each task."""
+    back = [F.desc(c) for c in order]
+    top = rows.orderBy(*back).limit(max(n, 0)).withColumn("__back", F.row_number().over(Window.orderBy(*back)))  # a window over n rows
+    total = rows.agg(F.count(F.lit(1)).alias("__total"))
+    numbered = top.crossJoin(F.broadcast(total))  # a single row
+    return numbered.withColumn(name, F.col("__total") - F.col("__back")).drop("__total", "__back").orderBy(name)
+
+
 def tail_view(lines: DataFrame, parse, size: int = DEFAULT_PAGE, *, order: str = "row_idx") -> DataFrame:
     """The parsed rows among the last size of the last TAIL_LINES lines."""
     return parse(tail(tail(lines, TAIL_LINES, order=order), size, order=order)).orderBy(order)

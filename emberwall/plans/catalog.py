@@ -7,19 +7,25 @@ what SQL computes from events without any parsing.
 from __future__ import annotations
 
 import datetime as dt
+import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import SourceError, ValidationError
 from ..functions.netaddr import ipv4_number
 from ..functions.predicates import FilterSpec, compare, preset, row_udf
+from ..functions.text import scrubbed
 from ..operators import enrich, export, view
 from ..operators.parse import parse_lines, rule_hash
 from ..schema import COMMON, IPV4, PARSED, PORTS, TCP
 from ..sources import config, rules
 from ..sources.synthetic import filter_lines
-from ..sources.text import read_lines
+from ..sources.text import iterate, read_lines, read_tail
 from ..streaming.live import stream_rows
 from .oracle import WITH_L
 
@@ -475,7 +481,7 @@ _ROW = "SELECT event_id, action, src, CAST(row_number() OVER (ORDER BY event_id)
 
 @query(f"SELECT * FROM ({_ROW}) WHERE row_idx < {PAGE}")
 def page_first(spark, d):
-    return view.page(_numbered(spark, d), 0, PAGE)
+    return view.first_rows(parsed(spark, d).select("event_id", "action", "src"), PAGE, "event_id")
 
 
 @query(f"SELECT * FROM ({_ROW}) WHERE row_idx >= {3 * PAGE} AND row_idx < {4 * PAGE}")
@@ -502,7 +508,7 @@ def total_pages(spark, d):
 
 @query(f"SELECT * FROM ({_ROW}) ORDER BY row_idx DESC LIMIT 50")
 def tail_n(spark, d):
-    return view.tail(_numbered(spark, d), 50)
+    return view.last_rows(parsed(spark, d).select("event_id", "action", "src"), 50, "event_id")
 
 
 @query("SELECT event_id, action FROM l WHERE event_id >= (SELECT max(event_id) FROM events) - 999")
@@ -541,11 +547,12 @@ def actions_per_hour(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share, as the cluster names it; a temporary one in local tests."""
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="emberwall-")
+    """A folder that all executors share, as the cluster names it; a temporary one where all runs on this machine."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValidationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="emberwall-")
     return f"{root.rstrip('/')}/emberwall-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -629,6 +636,65 @@ def rules_file(spark, d):
     return rules.read_rules(spark, _whole_file(spark, RULES_DUMP))
 
 
+@query(f"SELECT l.action, l.src FROM l JOIN ({_LINE_NUMBER}) n ON n.event_id = l.event_id WHERE n.row_idx >= (SELECT count(*) FROM events) - 120")
+def scan_tail(spark, d):
+    """The last 120 lines, read from the end of the files, and parsed."""
+    last = read_tail(spark, _log_files(spark, d), 120)
+    return parse_lines(spark.createDataFrame([(x,) for x in last], "value string")).select("action", "src")
+
+
+@query("SELECT event_id, src FROM l WHERE action = 'block'")
+def scan_iterated(spark, d):
+    """A view's rows as the driver's iterator gives them."""
+    rows = preset("blocked").apply(parsed(spark, d)).select("event_id", "src")
+    return spark.createDataFrame(list(iterate(rows)), rows.schema)
+
+
+@query("WITH v(row_idx, \"value\") AS (VALUES (CAST(0 AS BIGINT), 'grün'), (CAST(1 AS BIGINT), ''), (CAST(2 AS BIGINT), 'ab'), (CAST(3 AS BIGINT), 'last')) SELECT * FROM v")
+def scan_bytes(spark, d):
+    """Lines that end in each way, with bytes that are no UTF-8."""
+    path = _scratch(spark, "bytes")
+    raw = b"gr\xc3\xbcn\r\n\ra\xffb\nlast".hex()
+    spark.range(1).coalesce(1).select(F.unhex(F.lit(raw)).cast("string").alias("value")).write.text(path)
+    return read_lines(spark, path, numbered=True).select("row_idx", scrubbed(F.col("value")).alias("value"))
+
+
+@query("WITH v(error) AS (VALUES ('SourceError')) SELECT * FROM v")
+def scan_missing(spark, d):
+    try:
+        return read_lines(spark, f"{_scratch(spark, 'missing')}/none.log").select(F.lit("").alias("error"))
+    except SourceError as e:
+        return spark.createDataFrame([(type(e).__name__,)], "error string")
+
+
+@query("SELECT action, src, dst, srcport, seq FROM l WHERE action = 'block' AND coalesce(protoname, '') = 'tcp'")
+def export_view(spark, d):
+    """A filtered view in one file of the driver, as a user saves it, and read back there."""
+    rows = FilterSpec().where("action", "==", "block").where("protoname", "==", "tcp").apply(parsed(spark, d))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "view.json")
+        export.write_single(rows, path)
+        with open(path, encoding="utf-8") as f:
+            saved = json.load(f)
+    names = ("action", "src", "dst", "srcport", "seq")
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in saved], ", ".join(f"{n} string" for n in names))
+
+
+_DETAILS = [("raw_line", "raw_line"), *[(n, f'"{n}"') for n in PARSED], ("interface_display", "interface"), ("timestamp", "strftime(ts, '%Y-%m-%d %H:%M:%S')"), ("host", "'firewall'"), ("digest", "md5(raw_line)")]
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS field, {c} AS \"value\" FROM l WHERE event_id = (SELECT event_id FROM l ORDER BY event_id LIMIT 1 OFFSET 10)" for n, c in _DETAILS) + ") WHERE \"value\" IS NOT NULL")
+def row_details(spark, d):
+    return view.details(view.first_rows(parsed(spark, d), 11, "event_id"), 10)
+
+
+@query("WITH v(name, n) AS (VALUES ('interfaces', 2.0::DOUBLE), ('ip_aliases', 2.0), ('port_aliases', 3.0), ('total_labels', 4.0), ('cached_chunks', 3.0), ('cached_entries', 4096.0), ('memory_mb', 2.0)) SELECT * FROM v")
+def statistics(spark, d):
+    """Counts of the configuration, the rule labels and held rows."""
+    found = config.config_stats(spark, _whole_file(spark, XML)) | rules.label_stats(rules.read_rules(spark, _whole_file(spark, RULES_DUMP))) | view.memory_info(3, 4096)
+    return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "name string, n double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

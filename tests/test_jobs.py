@@ -3,7 +3,8 @@ from threading import Timer
 
 import pytest
 
-from emberwall.jobs import set_up_log, timed, watched
+from emberwall.errors import SourceError
+from emberwall.jobs import log_exception, log_user_action, set_up_log, timed, watched
 
 
 def test_progress_and_cancel(spark):
@@ -24,3 +25,12 @@ def test_log(tmp_path):
     assert "work took" in (tmp_path / "x.log").read_text(encoding="utf-8")
     set_up_log()
     assert log.level == logging.INFO
+
+
+def test_errors_and_actions_are_logged(tmp_path):
+    set_up_log(str(tmp_path / "y.log"))
+    log_user_action("export", path="out.json")
+    log_exception(SourceError("gone", path="x"), "reading")
+    set_up_log()
+    text = (tmp_path / "y.log").read_text(encoding="utf-8")
+    assert "user action: export path='out.json'" in text and "reading: gone {'path': 'x'}" in text

@@ -111,3 +111,16 @@ def test_no_python_and_one_match_in_the_plan(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
     assert plan.count("(?s)^") == 2  # for ASCII and other lines, in one place
+
+
+def test_compact_times(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from emberwall.operators.parse import timestamp
+
+    tokens = ["20310501T070809", "20310501T0708", "20310501T070809.5+0200", "2031-05-01T07:08:09", "20311301T070809", "20310501", "x"]
+    got = {r["t"]: r["ts"] for r in spark.createDataFrame([(t,) for t in tokens], "t string").select("t", timestamp(F.col("t")).alias("ts")).collect()}
+    at = dt.datetime(2031, 5, 1, 7, 8, 9)
+    assert [got[t] for t in tokens] == [at, at.replace(second=0), at.replace(microsecond=500000), at, None, None, None]
