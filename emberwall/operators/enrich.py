@@ -20,9 +20,9 @@ def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 def _look_up(df: DataFrame, dim: DataFrame, key: str, value: str, on: str, out: str, default: Column | None) -> DataFrame:
     """Left join on a unique key; dim is deduplicated first, so rows never multiply. The last value of a key in
-    order of ord wins, or of dim's own rows where it has none."""
-    ranked = dim if "ord" in dim.columns else dim.withColumn("ord", F.monotonically_increasing_id())
-    one = last_wins(ranked, key, value, "ord").select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    order of ord wins; without ord, which rows of a table don't have, the greatest."""
+    value_of = F.max_by(value, "ord") if "ord" in dim.columns else F.max(value)
+    one = dim.groupBy(F.col(key).alias("__key")).agg(value_of.alias("__value"))
     joined = df.join(bounded(one), F.col(f"`{on}`") == F.col("__key"), "left")
     found = F.col("__value") if default is None else F.coalesce("__value", default)
     return joined.withColumn(out, found).drop("__key", "__value")
