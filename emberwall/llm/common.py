@@ -155,6 +155,18 @@ def giving_back(run):
     return wrapped
 
 
+#: Most bytes of an Arrow batch, where the session holds Spark's own limit: operators work through smaller groups anyway.
+BATCH_BYTES, SPARKS_BYTES = 4 << 20, "67108864b"
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df through mapInArrow with run, in batches of few bytes, so that neither Java nor Python holds many long texts at once."""
+    conf, limit = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(limit) == SPARKS_BYTES:
+        conf.set(limit, BATCH_BYTES)
+    return df.mapInArrow(giving_back(run), schema)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the table holds; a name in another case is another column."""
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import giving_back, only, text_views
+from .common import in_arrow, only, text_views
 
 WINDOW = 10
 #: Most bytes of test texts: beyond, find_windows raises an error. A Python worker needs some 30 times as much memory.
@@ -163,7 +163,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, *, carry: tuple[str, ...
     name = hashlib.sha256(repr((window, held)).encode("utf-8", "surrogatepass")).hexdigest()
     shared = spark.sparkContext.broadcast((name, held))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c != SCANNED)
-    return body.mapInArrow(giving_back(_scanner(shared, window, scanned)), f"{ddl}, {FOUND}")
+    return body.transform(in_arrow, _scanner(shared, window, scanned), f"{ddl}, {FOUND}")
 
 
 def report(found: DataFrame) -> DataFrame:

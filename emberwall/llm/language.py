@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, giving_back, only, text_views
+from .common import Scratch, broadcast_if_small, in_arrow, only, text_views
 from .encoding import grouped
 
 #: Buckets of hashed byte trigrams.
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, *, label: str = "lang", per_language: int = FIT_DOCS) -
     share = F.broadcast(docs.sparkSession.createDataFrame([(k, min(1.0, per_language / counts[k])) for k in ample], "of string, share double"))
     picked = rows.join(share, F.col("label") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     at = F.create_map(*[x for i, k in enumerate(ample) for x in (F.lit(k), F.lit(i))])
-    rows = picked.select(at[F.col("label")].alias("k"), "text").mapInArrow(giving_back(_counted), "k int, bucket int, n long")
+    rows = picked.select(at[F.col("label")].alias("k"), "text").transform(in_arrow, _counted, "k int, bucket int, n long")
     # A row for each language and bucket in use: no more than the model's own cells.
     sums = rows.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
     seen = np.zeros((len(ample), BUCKETS + 1), np.float32)
@@ -136,7 +136,7 @@ def score_text(docs: DataFrame, model: TextModel, carry: list[str]) -> DataFrame
     body = only(docs, *carry, *([] if scanned == "text" else ["text"])).toDF(*carry, *([] if scanned == "text" else [scanned]))
     ddl = ", ".join(f"`{c}` {t}" for c, t in body.dtypes if c in carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 128 KB for each language with a text model
-    return body.mapInArrow(giving_back(_scorer(shared, carry, scanned)), f"{ddl}, log_text array<double>, n_letters long")
+    return body.transform(in_arrow, _scorer(shared, carry, scanned), f"{ddl}, log_text array<double>, n_letters long")
 
 
 def _literal(model: TextModel) -> Column:

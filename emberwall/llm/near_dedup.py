@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, giving_back, join_counted, only, text_views
+from .common import Scratch, in_arrow, join_counted, only, text_views
 from .components import connected_components
 from .encoding import grouped
 from .shingles import shingle_sets, similar, sketches
@@ -249,7 +249,7 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     meeting = scratch.write(labelled.join(mixed.select("region"), "region", "left_semi").groupBy("node").agg(F.first("component").alias("component")), "meeting")
     if meeting.isEmpty():
         return None
-    sets = texts.join(meeting.select("node"), "node", "left_semi").mapInArrow(giving_back(_sets(words)), "node long, shingles array<long>")
+    sets = texts.join(meeting.select("node"), "node", "left_semi").transform(in_arrow, _sets(words), "node long, shingles array<long>")
     sets = scratch.write(sets, "sets")
     counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     counts = scratch.write(counts.where(F.col("n") > LONG_LIST), "counts")
@@ -261,7 +261,7 @@ def _left_over(dense: DataFrame, found: DataFrame, texts: DataFrame, scratch: Sc
     by_key = np.argsort(keys)
     shared = sets.sparkSession.sparkContext.broadcast((keys[by_key], ranks[by_key]))
     schema = "shingle long, node long, component long, n long, most long, often boolean"
-    rows = scratch.write(sets.join(meeting, "node").mapInArrow(giving_back(_prefixes(shared, percent)), schema), "prefixes")
+    rows = scratch.write(sets.join(meeting, "node").transform(in_arrow, _prefixes(shared, percent), schema), "prefixes")
 
     fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most"))
     # How far both sizes are from what the filter would reject: the more, the likelier is a link.
@@ -323,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     body = only(docs, "doc_id", "text").withColumn("key", F.xxhash64("text"))
-    sketched = scratch.write(body.mapInArrow(giving_back(_sketcher(words)), "doc_id long, key long, n_shingles long, digest binary, sketch binary"), "sketches")
+    sketched = scratch.write(body.transform(in_arrow, _sketcher(words), "doc_id long, key long, n_shingles long, digest binary, sketch binary"), "sketches")
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = scratch.write(classes.select("digest", F.monotonically_increasing_id().alias("node"), "rep.doc_id", "rep.key", "n"), "classes")
@@ -332,18 +332,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     reps = scratch.write(reps.dropDuplicates(["of_doc_id", "of_digest", "of_key"]).select("node", "sketch"), "reps")
 
     keys = ["tree", "k1", "k2", "node"]
-    orders = scratch.write(reps.mapInArrow(giving_back(_ordered), "tree int, k1 long, k2 long, node long"), "orders")
+    orders = scratch.write(reps.transform(in_arrow, _ordered, "tree int, k1 long, k2 long, node long"), "orders")
     schema = "kind int, a long, b long, tree int, k1 long, k2 long, node long"
-    near = scratch.write(orders.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(True)), schema), "near")
+    near = scratch.write(orders.repartitionByRange(*keys).sortWithinPartitions(*keys).transform(in_arrow, _neighbours(True), schema), "near")
     scratch.drop("orders")
     # A few rows from each partition's ends: their number is that of the partitions.
-    across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).mapInArrow(giving_back(_neighbours(False)), schema)
+    across = near.where("kind = 1").select(*keys).dropDuplicates().repartition(1).sortWithinPartitions(*keys).transform(in_arrow, _neighbours(False), schema)
     pairs = near.where("kind = 0").select("a", "b").union(across.where("kind = 0").select("a", "b")).dropDuplicates(["a", "b"])
 
     def scored(some: DataFrame, name: str) -> DataFrame:
         """The pairs whose sketches agree enough."""
         side = lambda k: reps.select(F.col("node").alias(k), F.col("sketch").alias(f"sketch_{k}"))
-        rows = some.join(side("a"), "a").join(side("b"), "b").mapInArrow(giving_back(_agreement), "a long, b long, agreement double")
+        rows = some.join(side("a"), "a").join(side("b"), "b").transform(in_arrow, _agreement, "a long, b long, agreement double")
         return scratch.write(rows.where(F.col("agreement") >= LEAST_AGREEMENT), name)
 
     pairs = scored(pairs, "pairs")
@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     def confirmed(some: DataFrame, name: str) -> DataFrame:
         of = lambda k: texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}"))
         both = some.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-        return scratch.write(both.mapInArrow(giving_back(_confirm(words, percent)), "a long, b long"), name)
+        return scratch.write(both.transform(in_arrow, _confirm(words, percent), "a long, b long"), name)
 
     def tree_of(k: str, found: DataFrame) -> DataFrame:
         return found.select(F.col("node").alias(k), F.col("component").alias(f"tree_{k}"))

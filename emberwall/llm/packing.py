@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import DataFrame
 
 from . import encoding
-from .common import giving_back, only, text_views
+from .common import in_arrow, only, text_views
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
@@ -161,4 +161,4 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 2, capacity: int = 40
     again. Null texts are empty and give the end id alone; repeated rows are packed each.
     An empty table gives no rows.
     """
-    return only(docs, "doc_id", "text").mapInArrow(giving_back(_packer(tokenizer, end_id, capacity, pool_tokens, linear, quadratic)), SCHEMA)
+    return only(docs, "doc_id", "text").transform(in_arrow, _packer(tokenizer, end_id, capacity, pool_tokens, linear, quadratic), SCHEMA)

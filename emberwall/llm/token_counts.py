@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import Scratch, giving_back, join_counted, only, text_views
+from .common import Scratch, in_arrow, join_counted, only, text_views
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, limit: int
             others = keys.join(missing, same, "left_anti").select(*own).distinct()
             todo = body.select("*", *own).join(F.broadcast(others), ["own1", "own2"], "left_anti")
         # Rows that repeat the carrier itself are encoded with it, and stored once.
-        new = todo.select("digest", "text").mapInArrow(giving_back(_counter(tokenizer)), CACHE_SCHEMA).dropDuplicates(["digest"])
+        new = todo.select("digest", "text").transform(in_arrow, _counter(tokenizer), CACHE_SCHEMA).dropDuplicates(["digest"])
         new = scratch.write(new, "new")
         new.write.mode("append").parquet(stored)
         counts = digests.withColumnRenamed("n_tokens", "known").join(new, "digest", "left").select("digest", F.coalesce("known", "n_tokens").alias("n_tokens"), "n")

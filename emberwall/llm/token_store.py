@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import giving_back, only, text_views
+from .common import in_arrow, only, text_views
 
 SCHEMA = "doc_id long, part int, part_start long, n_tokens int, ids array<int>"
 
@@ -70,7 +70,7 @@ def write_token_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int)
     """
     body = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     ranged = body.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ranged.mapInArrow(giving_back(_writer(tokenizer, end_id)), SCHEMA).write.options(**LAYOUT).parquet(path)
+    ranged.transform(in_arrow, _writer(tokenizer, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -103,4 +103,4 @@ def _digests(batches):
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the ids as the files hold them."""
     rows = _placed(spark.read.schema(SCHEMA).parquet(path)).select("doc_id", "start", "ids")
-    return rows.mapInArrow(giving_back(_digests), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.transform(in_arrow, _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
