@@ -8,6 +8,21 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def joined_components(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """found(node, component), as connected_components gives it, after more links(a, b).
+
+    Only links between unlike components count, and these are joined as nodes of a graph of their own, so earlier
+    links are not gone through again. Nodes that found doesn't hold are components by themselves.
+    """
+    of = lambda k: found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+    sides = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = sides.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    moved = connected_components(between, scratch, name)
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = found.join(to, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return scratch.write(old.unionByName(moved.join(found, "node", "left_anti")), f"{name}-all")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, in_arrow, join_counted, only, text_views
-from .components import connected_components
+from .components import connected_components, joined_components
 from .encoding import grouped
 from .shingles import shingle_sets, similar, sketches
 
@@ -371,8 +371,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     apart = pairs.join(best, ["a", "b"], "left_anti").join(tree_of("a", found), "a", "left").join(tree_of("b", found), "b", "left")
     more = confirmed(apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")), "links-2")
     if not more.isEmpty():
-        links = links.union(more)
-        found = connected_components(links, scratch, "second")
+        found = joined_components(found, more, scratch, "second")
     left = _left_over(dense, found, texts, scratch, words, percent)
     if left is not None and not left.isEmpty():
         # One link joins two components, and a few likely pairs of each two find most; all pairs still apart follow.
@@ -380,13 +379,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
         key, pair = F.xxhash64("a", "b"), F.struct("a", "b")
         some = left.groupBy(*sides).agg(F.array(F.max_by(pair, F.struct("room", key)), F.max_by(pair, key), F.min_by(pair, key)).alias("some"))
         some = scratch.write(some.select(F.inline("some")).distinct(), "likely")
-        links = links.union(confirmed(some, "links-3"))
-        found = connected_components(links, scratch, "third")
+        found = joined_components(found, confirmed(some, "links-3"), scratch, "third")
         apart = left.join(some, ["a", "b"], "left_anti").select("a", "b").join(tree_of("a", found), "a", "left").join(tree_of("b", found), "b", "left")
         apart = scratch.write(apart.where(F.coalesce("tree_a", "a") != F.coalesce("tree_b", "b")).select("a", "b"), "apart")
         last = None if apart.isEmpty() else confirmed(scored(apart, "left-pairs"), "links-4")
         if last is not None and not last.isEmpty():
-            found = connected_components(links.union(last), scratch, "fourth")
+            found = joined_components(found, last, scratch, "fourth")
 
     own = classes.select("digest", "node", F.col("doc_id").alias("rep"), F.col("n").alias("rows")).join(found, "node", "left")
     own = scratch.write(own, "own")

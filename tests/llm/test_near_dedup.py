@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from emberwall.llm import near_dedup, shingles
-from emberwall.llm.components import connected_components
+from emberwall.llm.components import connected_components, joined_components
 from emberwall.llm.common import Scratch
 from tests.llm import brute, cases
 
@@ -140,3 +140,18 @@ def test_components_of_paths_and_stars(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "cc").collect()
     got = {r["node"]: r["component"] for r in found}
     assert {got[k] for k in range(61)} == {0} and {got[100 + k] for k in range(300)} == {100} and {got[k] for k in (400, 500, 501, 502)} == {400}
+
+
+def test_components_joined_by_later_links(spark):
+    """The same as all links at once: chains through old components, new nodes, links within one, none at all."""
+    rng, table = random.Random(4), lambda e: spark.createDataFrame(e, "a long, b long")
+    first = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    later = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + first[:5] + [(7, 7)]
+    first, whole = [e for e in first if e[0] != e[1]], {}
+    for name, edges in (("once", first + [e for e in later if e[0] != e[1]]), ("old", first)):
+        whole[name] = connected_components(table(edges), Scratch(spark, "t"), name)
+    got = joined_components(whole["old"], table(later), Scratch(spark, "t"), "new").collect()
+    assert len({r["node"] for r in got}) == len(got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole["once"].collect()))
+    same = joined_components(whole["old"], table([]), Scratch(spark, "t"), "none").collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, whole["old"].collect()))
