@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType, TimestampNTZType, TimestampType
 
 from ..schema import DEFAULT_PAGE, TAIL_LINES
 from .enrich import decorated
@@ -14,11 +15,47 @@ from .enrich import decorated
 def dense_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     """Numbers rows from 0 in the given order, without a window over all rows.
 
-    Rows are sorted in ranges; a row's number is its place in its range and the sizes of the
-    ranges before, which are as few as the tasks.
+    A first job deals the columns of the order alone into ranges, and the driver gets the first key and the size of
+    each. They are constants of the plan: a row's number is its place in its range and the sizes of the ranges before.
+    Ranges that Spark cuts itself would not do, as it cuts anew wherever it runs a part of the plan.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    return _numbered(ranged, [F.shiftright("__id", 33).alias("__block")], ["__block"], name)
+    starts = _range_starts(df, order)
+    dealt = df.withColumn("__before", _before(_order_key(df, order), starts))
+    place = F.row_number().over(Window.partitionBy("__before").orderBy(*order))
+    return dealt.withColumn(name, F.col("__before") + place - 1).drop("__before")
+
+
+def _order_key(df: DataFrame, order: tuple[str, ...]) -> Column:
+    """What rows are compared by; a time as a number, since a time zone's change makes its local form ambiguous."""
+    keys = [F.unix_micros(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c) for c in order]
+    return keys[0] if len(keys) == 1 else F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def _range_starts(df: DataFrame, order: tuple[str, ...]) -> list[tuple[Column, int]]:
+    """The first key of each range, in order, and the number of rows before it; a range holds all rows of its keys."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(_order_key(df, order).alias("key")).repartitionByRange(n, "key").withColumn("range", F.spark_partition_id())
+    ranges = ranged.groupBy("range").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).orderBy("key")
+    kind, starts, before = ranges.schema["key"].dataType, [], 0
+    for r in ranges.collect():  # at most a row for each shuffle partition
+        starts.append((_constant(r["key"], kind), before))
+        before += r["n"]
+    return starts
+
+
+def _constant(value, kind: DataType) -> Column:
+    """A collected value in its own type. A wall-clock time goes as text: F.lit would make it a time of Python's zone."""
+    if value is not None and isinstance(kind, StructType):
+        return F.struct(*[_constant(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(str(value) if value is not None and isinstance(kind, TimestampNTZType) else value).cast(kind)
+
+
+def _before(key: Column, starts: list[tuple[Column, int]]) -> Column:
+    """The rows before a key's range, by binary search. A NULL key, which sorts first, is not >= any."""
+    if len(starts) < 2:
+        return F.lit(0).cast("long")
+    pick = lambda low, high: F.lit(starts[low][1]).cast("long") if high - low == 1 else F.when(key >= starts[(low + high) // 2][0], pick((low + high) // 2, high)).otherwise(pick(low, (low + high) // 2))
+    return pick(0, len(starts))
 
 
 def file_index(lines: DataFrame, name: str = "row_idx") -> DataFrame:
@@ -27,17 +64,12 @@ def file_index(lines: DataFrame, name: str = "row_idx") -> DataFrame:
     Within a split, ids rise with the lines; splits are counted and added up in order of file and
     offset. The table of splits has one row for each.
     """
-    return _numbered(lines.withColumn("__id", F.monotonically_increasing_id()), [F.col("file"), F.col("block")], ["file", "block"], name)
-
-
-def _numbered(df: DataFrame, keys: list, names: list[str], out: str) -> DataFrame:
-    keyed = df.select("*", *[k for k, n in zip(keys, names, strict=True) if n not in df.columns])
+    names, keyed = ["file", "block"], lines.withColumn("__id", F.monotonically_increasing_id())
     blocks = keyed.groupBy(*names).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*names, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = keyed.join(F.broadcast(blocks), names)  # one row for each split or task
-    extra = [n for n in names if n.startswith("__")]
-    return joined.withColumn(out, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__first", "__before", *extra)
+    joined = keyed.join(F.broadcast(blocks), names)  # one row for each split
+    return joined.withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__first", "__before")
 
 
 def table_rows(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberwall.errors import ExportError, SourceError
 from emberwall.logframe import LogFrame
@@ -101,6 +102,35 @@ def test_dense_index(spark):
     assert [r["row_idx"] for r in got] == [r["k"] for r in got] == list(range(1000))
 
 
+def test_dense_index_with_random_ranges(spark):
+    """Enough rows for ranges that are cut from a sample, and wide ones, which are dealt into more tasks than their keys."""
+    df = spark.range(200_000).selectExpr("(id * 37) % 200000 as k", "repeat(md5(string(id)), 4) as text")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        got = view.dense_index(df, "k")
+        assert got.where("row_idx = k and length(text) = 128").count() == 200_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("order", [["t"], ["z"], ["s"], ["s", "k"], ["z", "k"]])
+def test_dense_index_of_other_orders(spark, order):
+    """Times with and without a zone, texts, and several columns; NULL comes first."""
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        df = spark.range(3000).selectExpr("id as k", "timestamp_seconds(nullif((id * 7) % 3000, 0) * 5 + 1729981000) as t", "nullif((id * 11) % 3000, 0) as n")
+        df = df.select("k", "t", F.expr("timestamp_ntz'2024-03-31 01:00:00' + make_dt_interval(0, 0, 0, n * 5.5)").alias("z"), F.when(F.col("n").isNotNull(), F.format_string("%05d", "n")).alias("s"))
+        got = view.dense_index(df, *order).orderBy("row_idx").select("k", "row_idx").collect()
+        assert [r["row_idx"] for r in got] == list(range(3000))
+        assert [r["k"] for r in got] == [r["k"] for r in df.coalesce(1).sortWithinPartitions(*order).select("k").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_dense_index_of_no_rows(spark):
+    assert view.dense_index(spark.range(0), "id").collect() == []
+
+
 def test_exports(frame, spark, tmp_path):
     blocked = frame.preset("blocked")
     assert blocked.export(str(tmp_path / "a.json")) == 25
