@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 import os
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ExportError
 from ..schema import EXPORTED
 
+#: Bytes that the driver holds while it copies lines to one file.
+COPY_BYTES = 1 << 16
+
 
 def exported(rows: DataFrame) -> DataFrame:
     """The parsed and meta fields of a view; the label too where it was joined."""
@@ -31,40 +42,97 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_single(rows: DataFrame, path: str) -> int:
-    """One local file in the form of its extension, rows streamed a partition at a time; returns their number.
+    """One local file in the form of its extension; returns the number of rows.
 
-    .json is one array of objects, .csv a table. Another extension is an error, as is a view without rows.
+    .json is one array of objects, one to a line, .csv a table. Another extension is an error, as is a view without rows.
+    Executors write the lines to the shared folder, compressed, and the driver copies them in order, a block at a time.
+    Where a cluster has no shared folder, the driver takes them a partition at a time.
     """
-    import csv
-    import json
-
     kind = os.path.splitext(path)[1].lower()
     if kind not in (".json", ".csv"):
         raise ExportError(f"neither .json nor .csv: {path}", path=path)
     out = exported(rows)
-    it = out.toLocalIterator(prefetchPartitions=True)
-    first = next(it, None)
-    if first is None:
+    head, line, end = _table(out) if kind == ".csv" else ("[\n", F.concat(F.lit("  "), F.to_json(F.struct("*"), {"ignoreNullFields": "true"})), ",\n")
+    lines, folder = out.select(line.alias("value")), scratch(rows.sparkSession, "single")
+    n = _gathered(lines, path, head, end, folder) if folder else _iterated(lines, path, head, end)
+    if not n:
         raise ExportError("nothing to export", path=path)
-    n = 0
-    with open(path, "w", encoding="utf-8", newline="" if kind == ".csv" else None) as f:
-        sheet = csv.writer(f) if kind == ".csv" else None
-        if sheet:
-            sheet.writerow(out.columns)
-        for row in _chain(first, it):
-            if sheet:
-                sheet.writerow(["" if v is None else v for v in row])
-            else:
-                f.write(("[\n  " if n == 0 else ",\n  ") + json.dumps({k: v for k, v in row.asDict().items() if v is not None}, ensure_ascii=False, default=str))
-            n += 1
-        if not sheet:
-            f.write("\n]\n")
+    if kind == ".json":  # the last object has no comma
+        with open(path, "r+b") as f:
+            f.seek(-len(end), os.SEEK_END)
+            f.truncate()
+            f.write(b"\n]\n")
     return n
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
+def saved_rows(path: str) -> Iterator[dict]:
+    """The rows of a .json file that write_single made, read one by one."""
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            text = line.strip().removesuffix(",")
+            if text not in ("[", "]"):
+                yield json.loads(text)
+
+
+def scratch(spark: SparkSession, name: str) -> str | None:
+    """The path of a new folder that the driver and all executors share: in the one that the cluster names, or a temporary
+    one where all runs on this machine. None on a cluster that names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            return None
+        root = "file://" + os.path.realpath(tempfile.gettempdir())
+    return f"{root.rstrip('/')}/emberwall-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _table(out: DataFrame) -> tuple[str, Column, str]:
+    """Header, line and line end of a table as Python's csv.writer makes it."""
+    header = io.StringIO()
+    csv.writer(header).writerow(out.columns)
+    quoted = '[",\r\n]' + "|^$" * (len(out.columns) == 1)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cell = lambda c: F.when(c.rlike(quoted), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return header.getvalue(), F.concat_ws(",", *[cell(text(F.col(f"`{c}`"))) for c in out.columns]), "\r\n"
+
+
+def _gathered(lines: DataFrame, path: str, head: str, end: str, folder: str) -> int:
+    spark, seen = lines.sparkSession, Observation()
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    root = hadoop.fs.Path(folder)
+    fs, codecs = root.getFileSystem(conf), hadoop.io.compress.CompressionCodecFactory(conf)
+    try:
+        lines.observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", end).option("compression", "gzip").text(folder)
+        n = seen.get["n"]
+        if not n:
+            return 0
+        with open(path, "wb") as f:
+            f.write(head.encode())
+        to = spark._jvm.java.io.FileOutputStream(os.path.realpath(path), True)  # Python and its JVM may be in different folders
+        try:
+            parts = [(m, s.getPath()) for s in fs.listStatus(root) if (m := re.match(r"part-(\d+).*?(?:-c(\d+))?\.", s.getPath().getName()))]
+            for _, part in sorted(parts, key=lambda x: [int(k or 0) for k in x[0].groups()]):
+                stream = codecs.getCodec(part).createInputStream(fs.open(part))
+                try:
+                    hadoop.io.IOUtils.copyBytes(stream, to, COPY_BYTES, False)
+                finally:
+                    stream.close()
+        finally:
+            to.close()
+        return n
+    finally:
+        fs.delete(root, True)
+
+
+def _iterated(lines: DataFrame, path: str, head: str, end: str) -> int:
+    it, n = lines.toLocalIterator(prefetchPartitions=True), 0
+    first = next(it, None)
+    if first is None:
+        return 0
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(head)
+        for n, row in enumerate(chain([first], it), 1):
+            f.write(row["value"] + end)
+    return n
 
 
 def json_array(rows: DataFrame) -> DataFrame:

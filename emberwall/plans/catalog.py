@@ -7,11 +7,10 @@ what SQL computes from events without any parsing.
 from __future__ import annotations
 
 import datetime as dt
-import json
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ _SQL: dict[str, str] = {}
 
 FALLBACK = dt.datetime(2024, 1, 1)
 PAGE = 1000
+#: Rows of a saved file that the driver holds at a time.
+SAVED_ROWS = 50_000
 
 # Dimensions of the queries, the same on both sides.
 INTERFACES = [("vtnet0", "LAN"), ("vtnet1", "WAN")]
@@ -547,13 +548,11 @@ def actions_per_hour(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder that all executors share, as the cluster names it; a temporary one where all runs on this machine."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValidationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="emberwall-")
-    return f"{root.rstrip('/')}/emberwall-{name}-{uuid.uuid4().hex[:12]}"
+    """A folder that all executors share."""
+    path = export.scratch(spark, name)
+    if path is None:
+        raise ValidationError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return path
 
 
 @query(f"SELECT {quoted(PARSED)} FROM l")
@@ -669,15 +668,17 @@ def scan_missing(spark, d):
 
 @query("SELECT action, src, dst, srcport, seq FROM l WHERE action = 'block' AND coalesce(protoname, '') = 'tcp'")
 def export_view(spark, d):
-    """A filtered view in one file of the driver, as a user saves it, and read back there."""
+    """A filtered view in one file of the driver, as a user saves it, and read back there, some rows at a time."""
     rows = FilterSpec().where("action", "==", "block").where("protoname", "==", "tcp").apply(parsed(spark, d))
+    names, out = ("action", "src", "dst", "srcport", "seq"), _scratch(spark, "saved")
+    schema = ", ".join(f"{n} string" for n in names)
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "view.json")
         export.write_single(rows, path)
-        with open(path, encoding="utf-8") as f:
-            saved = json.load(f)
-    names = ("action", "src", "dst", "srcport", "seq")
-    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in saved], ", ".join(f"{n} string" for n in names))
+        saved = (tuple(r.get(n) for n in names) for r in export.saved_rows(path))
+        while some := list(islice(saved, SAVED_ROWS)):
+            spark.createDataFrame(some, schema, verifySchema=False).coalesce(1).write.mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 _DETAILS = [("raw_line", "raw_line"), *[(n, f'"{n}"') for n in PARSED], ("interface_display", "interface"), ("timestamp", "strftime(ts, '%Y-%m-%d %H:%M:%S')"), ("host", "'firewall'"), ("digest", "md5(raw_line)")]

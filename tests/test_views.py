@@ -1,5 +1,7 @@
 import csv
+import io
 import json
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from emberwall.errors import ExportError, SourceError
 from emberwall.logframe import LogFrame
 from emberwall.operators import export, view
+from emberwall.plans import catalog
 from emberwall.sources.text import read_lines, read_tail
 from tests.test_parse import NO_ECN, TCP_LINE
 
@@ -146,6 +149,49 @@ def test_exports(frame, spark, tmp_path):
         blocked.where("src", "==", "nobody").export(str(tmp_path / "b.json"))
 
 
+def test_single_files_of_odd_rows_in_order(spark, tmp_path):
+    """Python's own csv and json give the same; many parts, some empty, and no order lost."""
+    odd = ['say "x"', "a,b", "", None, "line\nnext\r\n", " ü\u2028\U0001f600 ", "\x01\\\t/", "]", "["]
+    rows = [(k, f"{k:05d}", odd[k % len(odd)]) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k int, src string, dst string").repartition(7).orderBy("k")
+    assert export.write_single(df, str(tmp_path / "a.csv")) == export.write_single(df, str(tmp_path / "a.json")) == 2000
+    want = io.StringIO()
+    csv.writer(want).writerows([("src", "dst"), *[(s, d or "") for _, s, d in rows]])
+    assert (tmp_path / "a.csv").read_bytes() == want.getvalue().encode()
+    objects = [{"src": s} | ({} if d is None else {"dst": d}) for _, s, d in rows]
+    assert json.loads((tmp_path / "a.json").read_text(encoding="utf-8")) == list(export.saved_rows(str(tmp_path / "a.json"))) == objects
+    one = df.select("k", F.col("dst").alias("src")).where("k in (2, 3)").orderBy("k")
+    export.write_single(one, str(tmp_path / "one.csv"))
+    assert (tmp_path / "one.csv").read_bytes() == b'src\r\n""\r\n""\r\n'
+
+
+def test_single_file_without_a_shared_folder(spark, frame, tmp_path, monkeypatch):
+    frame.export(str(tmp_path / "a.json")), frame.export(str(tmp_path / "a.csv"))
+    monkeypatch.setattr(export, "scratch", lambda *_: None)
+    for kind in ("json", "csv"):
+        assert frame.export(str(tmp_path / f"b.{kind}")) == 100
+        assert (tmp_path / f"a.{kind}").read_bytes() == (tmp_path / f"b.{kind}").read_bytes()
+    with pytest.raises(ExportError):
+        frame.where("src", "==", "nobody").export(str(tmp_path / "c.json"))
+
+
+def test_saved_view_is_not_held_by_the_driver(spark, tmp_path, monkeypatch):
+    """Neither a partition of the view, nor the whole file when it is read back."""
+    n = 60_000
+    events = spark.range(n).selectExpr("id as event_id", "timestamp_seconds(1704067200 + id) as ts", "id % 999 as user_id", "'error' as event_type", "0.5D as value")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "SAVED_ROWS", 5000, raising=False)
+    monkeypatch.setattr(type(events), "toLocalIterator", lambda *_, **__: pytest.fail("rows go to the driver by partitions"))
+    tracemalloc.start()
+    try:
+        rows = catalog.export_view(spark, str(tmp_path))
+        assert tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+    tcp = [k for k in range(n) if k % 50 and k % 11 and k % 13 and k % 17]
+    assert rows.count() == len(tcp) and rows.selectExpr("sum(cast(seq as long))").first()[0] == sum(tcp)
+
+
 def test_rows_of_all_kinds_in_one_csv(spark, tmp_path):
     f = LogFrame.load(spark, log(tmp_path, [NO_ECN["icmp"], TCP_LINE]))
     export.write_csv(f.rows, str(tmp_path / "out"))
