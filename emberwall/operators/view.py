@@ -27,7 +27,7 @@ def dense_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
 
 def _order_key(df: DataFrame, order: tuple[str, ...]) -> Column:
     """What rows are compared by; a time as a number, since a time zone's change makes its local form ambiguous."""
-    keys = [F.unix_micros(c) if isinstance(df.schema[c].dataType, TimestampType) else F.col(c) for c in order]
+    keys = [F.unix_micros(c) if isinstance(df.select(c).schema[0].dataType, TimestampType) else F.col(c) for c in order]
     return keys[0] if len(keys) == 1 else F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
 
 
@@ -54,7 +54,13 @@ def _before(key: Column, starts: list[tuple[Column, int]]) -> Column:
     """The rows before a key's range, by binary search. A NULL key, which sorts first, is not >= any."""
     if len(starts) < 2:
         return F.lit(0).cast("long")
-    pick = lambda low, high: F.lit(starts[low][1]).cast("long") if high - low == 1 else F.when(key >= starts[(low + high) // 2][0], pick((low + high) // 2, high)).otherwise(pick(low, (low + high) // 2))
+
+    def pick(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(starts[low][1]).cast("long")
+        middle = (low + high) // 2
+        return F.when(key >= starts[middle][0], pick(middle, high)).otherwise(pick(low, middle))
+
     return pick(0, len(starts))
 
 

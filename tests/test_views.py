@@ -130,6 +130,17 @@ def test_dense_index_of_other_orders(spark, order):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize("kind", ["n + 0.5D", "if(n % 2 = 0, double('nan'), -n)", "cast(n / 7 as decimal(20, 9))", "date'2024-01-01' + n", "unhex(hex(n + 128))", "n > 1500", "cast(n as float)", "struct(n % 3 as a, string(n) as b)"])
+def test_dense_index_of_other_types(spark, kind):
+    """A column of any type that sorts, in another case or inside another."""
+    df = spark.range(3000).selectExpr("id as k", "cast((id * 7) % 3000 as int) as n").selectExpr("k", f"struct({kind} as v) as x", f"{kind} as Value")
+    want = [r["k"] for r in df.coalesce(1).sortWithinPartitions("value", "k").select("k").collect()]
+    for order in (["value", "k"], ["x.v", "k"]):
+        got = view.dense_index(df, *order).orderBy("row_idx").select("k", "row_idx").collect()
+        assert [r["row_idx"] for r in got] == list(range(3000)) and [r["k"] for r in got] == want
+    assert view.dense_index(df, "value").selectExpr("count(distinct row_idx)").first()[0] == 3000
+
+
 def test_dense_index_of_no_rows(spark):
     assert view.dense_index(spark.range(0), "id").collect() == []
 
